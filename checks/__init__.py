@@ -3,6 +3,8 @@
 from checks.registry import ORACLES, QUERIES
 from checks import (  # noqa: F401  (importing registers the queries)
     history_checks,
+    row_checks,
+    table_checks,
 )
 
 __all__ = ["ORACLES", "QUERIES"]
