@@ -3,6 +3,7 @@
 from checks.registry import ORACLES, QUERIES
 from checks import (  # noqa: F401  (importing registers the queries)
     history_checks,
+    model_checks,
     row_checks,
     table_checks,
 )

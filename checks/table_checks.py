@@ -44,11 +44,11 @@ def _semi(spark, sf_dir):
 
 
 @query("anti_join_new_pairs", txn_sql("""
-select distinct card1, P_emaildomain from txn t where TransactionDT >= 86400 * 16 and P_emaildomain is not null
-  and not exists (select 1 from txn o where o.TransactionDT < 86400 * 16 and o.card1 = t.card1 and o.P_emaildomain = t.P_emaildomain)"""))
+select distinct card1, addr1 from txn t where TransactionDT >= 86400 * 16 and addr1 is not null
+  and not exists (select 1 from txn o where o.TransactionDT < 86400 * 16 and o.card1 = t.card1 and o.addr1 = t.addr1)"""))
 def _anti(spark, sf_dir):
-    rows = txn(spark, sf_dir).where("P_emaildomain is not null")
-    return joins.new_pairs(rows.where("TransactionDT >= 86400 * 16"), rows.where("TransactionDT < 86400 * 16"), ["card1", "P_emaildomain"])
+    rows = txn(spark, sf_dir).where("addr1 is not null")
+    return joins.new_pairs(rows.where("TransactionDT >= 86400 * 16"), rows.where("TransactionDT < 86400 * 16"), ["card1", "addr1"])
 
 
 @query("join_predictions_agree", txn_sql("select TransactionID, isFraud, probability as first_model, probability_b as second_model, false as label_mismatch from txn"))
@@ -277,7 +277,7 @@ def _sequence(spark, sf_dir):
 
 
 @query("fifo_check", txn_sql("""
-select count(*) filter (where (pt, pi) > (TransactionDT, TransactionID)) as order_violations, count(*) filter (where ps >= seq) as sequence_violations
+select count(*) filter (where pt is not null and (pt, pi) > (TransactionDT, TransactionID)) as order_violations, count(*) filter (where ps >= seq) as sequence_violations
 from (select *, lag(TransactionDT) over w as pt, lag(TransactionID) over w as pi, lag(seq) over w as ps from seqs window w as (order by seq, TransactionDT, TransactionID))""",
   "seqs as (select TransactionDT, TransactionID, TransactionID // 2 + k % 3 as seq from txn)"))
 def _fifo(spark, sf_dir):
