@@ -2,9 +2,12 @@
 
 from checks.registry import ORACLES, QUERIES
 from checks import (  # noqa: F401  (importing registers the queries)
+    case_checks,
     history_checks,
+    learning_checks,
     model_checks,
     row_checks,
+    state_checks,
     table_checks,
 )
 

@@ -88,12 +88,12 @@ def _passthrough(spark, sf_dir):
 
 
 @query("enc_linear", txn_sql(f"""
-select TransactionID, {r('coalesce(TransactionAmt, m_a) / s_a', 'amount')}, {r('coalesce(D1, m_d) / s_d', 'd1')}, cast(D1 is null as double) as d1_missing,
+select TransactionID, {r('coalesce(TransactionAmt, m_a) / s_a', 'amount')}, {r('coalesce(D1, m_d) / s_d', 'd1')}, {r('cast(D1 is null as double) / s_m', 'd1_missing')},
   cast(ProductCD = 'click' as double) as click, cast(coalesce(cast(addr1 as varchar), 'MISSING') = 'MISSING' as double) as addr1_missing,
   {r('coalesce(lv_card1.share, 0) / s_f', 'card1_frequency')}
 from txn t {joined(['card1'])}, fit, freq""", level_cte("card1"),
     f"med as (select median(TransactionAmt) as m_a, median(D1) as m_d from txn where TransactionDT < {CUT})",
-    f"fit as (select max(m_a) as m_a, max(m_d) as m_d, stddev_pop(coalesce(TransactionAmt, m_a)) as s_a, stddev_pop(coalesce(D1, m_d)) as s_d from txn, med where TransactionDT < {CUT})",
+    f"fit as (select max(m_a) as m_a, max(m_d) as m_d, stddev_pop(coalesce(TransactionAmt, m_a)) as s_a, stddev_pop(coalesce(D1, m_d)) as s_d, stddev_pop(cast(D1 is null as double)) as s_m from txn, med where TransactionDT < {CUT})",
     f"freq as (select stddev_pop(lv_card1.share) as s_f from txn t {joined(['card1'])} where TransactionDT < {CUT})"))
 def _linear(spark, sf_dir):
     train, _ = parts(spark, sf_dir)

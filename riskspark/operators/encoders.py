@@ -8,11 +8,13 @@ broadcasts those that are small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.row_features import number
-from riskspark.operators.ordering import exact_quantiles
+from riskspark.operators.ordering import exact_quantiles, running_totals
 from riskspark.operators.profiling import value_counts
 from riskspark.schema import MISSING, OTHER, UNKNOWN
 
@@ -75,8 +77,10 @@ def apply_rare_levels(df: DataFrame, levels: DataFrame, columns: list[str]) -> D
 def fit_vocabulary(levels: DataFrame) -> DataFrame:
     """(column, value, index): reserved numbers first, then kept values in order."""
     kept = levels.where(F.col("kept") & ~F.col("value").isin(list(RESERVED))).select("column", "value")
-    # Only values seen at least rare_min_count times are ranked, column by column.
-    ranked = kept.withColumn("index", F.row_number().over(Window.partitionBy("column").orderBy("value")) + len(RESERVED) - 1)
+    # A column may keep many values, so the ranks come from the distributed cumulative sum.
+    ranked = running_totals(kept, [F.col("value")], {"_rank": F.lit(1)}, by=["column"]).select(
+        "column", "value", (F.col("_rank") + len(RESERVED) - 1).cast("int").alias("index")
+    )
     reserved = levels.select("column").distinct().select(
         "column", F.explode(F.create_map(*[F.lit(x) for pair in RESERVED.items() for x in pair])).alias("value", "index")
     )
@@ -96,7 +100,7 @@ def apply_vocabulary(df: DataFrame, levels: DataFrame, vocabulary: DataFrame, co
 
 
 def fit_scaling(train: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, median, mean, std, population_std) of median-filled values, exact medians."""
+    """(column, median, mean, std, population_std, missing_share) of median-filled values, exact medians."""
     medians = exact_quantiles(train, columns, 0.5)
     known = {r["column"]: r["quantile"] for r in medians.collect()}  # one row per column
     measures = []
@@ -105,7 +109,7 @@ def fit_scaling(train: DataFrame, columns: list[str]) -> DataFrame:
         measures.append(F.struct(
             F.lit(c).alias("column"), F.lit(float(known.get(c, 0.0))).alias("median"), F.avg(filled).alias("mean"),
             F.stddev_samp(filled).alias("std"), F.stddev_pop(filled).alias("population_std"),
-            (F.count(F.lit(1)) > F.count(number(c))).alias("has_missing"),
+            (1 - F.count(number(c)) / F.count(F.lit(1))).alias("missing_share"),
         ))
     rows = train.agg(F.array(*measures).alias("m")).select(F.explode("m").alias("r")).select("r.*")
     usable = lambda s: F.when(s.isNotNull() & ~F.isnan(s) & (s > SCALE_EPSILON), s).otherwise(1.0)
@@ -168,8 +172,10 @@ def apply_linear(df: DataFrame, state: dict) -> tuple[DataFrame, list[str]]:
     for c in groups["numeric"]:
         v = state["numeric"][c]
         added[f"num__{c}"] = F.coalesce(number(c), F.lit(v["median"])) / F.lit(v["population_std"])
-        if v["has_missing"]:
-            added[f"num__{c}__missing"] = number(c).isNull().cast("double")
+        share = v["missing_share"]
+        if share > 0:
+            flag_std = math.sqrt(share * (1 - share)) or 1.0
+            added[f"num__{c}__missing"] = number(c).isNull().cast("double") / F.lit(flag_std)
     for c in groups["low_cardinality"]:
         kept, value = state["one_hot"][c]["kept"], clean(c)
         for level in kept:
