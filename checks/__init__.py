@@ -8,6 +8,7 @@ from checks import (  # noqa: F401  (importing registers the queries)
     model_checks,
     row_checks,
     state_checks,
+    stream_checks,
     table_checks,
 )
 

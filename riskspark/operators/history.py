@@ -56,6 +56,14 @@ KEY_HISTORIES = [
 ]
 
 
+@dataclass
+class KnownState:
+    """Totals per key and distinct (column, key, value) pairs from before a batch of rows."""
+
+    keyed: dict[str, DataFrame]
+    pairs: DataFrame | None
+
+
 def sum_columns(spec: KeyHistory) -> dict[str, Column]:
     """Additive measures of a key: value counts, sums and sums of squares."""
     out: dict[str, Column] = {}
@@ -126,14 +134,15 @@ def _window_stage(df: DataFrame, spec: KeyHistory, group: list[str], before: dic
 
     value_of = {
         "n": F.row_number().over(window) - 1 + before.get("n", zero),
-        "last": F.coalesce(F.lag(number(TIME)).over(window), before.get("last", F.lit(None).cast("double"))),
+        "last": F.coalesce(F.lag(number(TIME)).over(window), *([before["last"]] if "last" in before else [])),
     }
     for name, measure in sum_columns(spec).items():
         value_of[name] = total(measure, name)
     for c in spec.distinct:
         fresh = F.col(f"_new_{c}")
-        if f"_seen_{c}" in df.columns:
-            fresh = fresh & F.col(f"_seen_{c}").isNull()
+        for mark in (f"_seen_{c}", f"_known_{c}"):  # met in an earlier chunk or before these rows
+            if mark in df.columns:
+                fresh = fresh & F.col(mark).isNull()
         value_of[f"{c}__d"] = total(fresh.cast("bigint"), f"{c}__d")
     # Raw totals first, then the derived features, so each window is evaluated once.
     raw = staged.withColumns({f"_w_{name}": value for name, value in value_of.items()})
@@ -141,24 +150,43 @@ def _window_stage(df: DataFrame, spec: KeyHistory, group: list[str], before: dic
     return raw.withColumns(features).drop(*[f"_w_{n}" for n in value_of], *flags)
 
 
-def _plain_key(df: DataFrame, spec: KeyHistory) -> DataFrame:
+def _with_known(df: DataFrame, spec: KeyHistory, known: KnownState | None) -> tuple[DataFrame, dict[str, Column]]:
+    """Join what is already known about each key and value; both tables are unique per key."""
+    if known is None:
+        return df, {}
+    table = known.keyed[spec.key]
+    names = [c for c in table.columns if c != "key"]
+    df = df.join(table.select(F.col("key").alias(spec.key), *[F.col(n).alias(f"_p_{n}") for n in names]), spec.key, "left")
+    for c in spec.distinct:
+        pairs = known.pairs.where(F.col("column") == c).select(
+            F.col("key").alias(spec.key), F.col("value").alias(f"_v_{c}"), F.lit(True).alias(f"_known_{c}"))
+        df = df.join(pairs, [spec.key, f"_v_{c}"], "left")
+    before = {n: F.coalesce(F.col(f"_p_{n}"), F.lit(0)) for n in names if n != "last"}
+    before["last"] = F.col("_p_last")
+    return df, before
+
+
+def _helpers(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(("_p_", "_b_", "_v_", "_known_", "_seen_", "_new_", "_hot", "_chunk"))]
+
+
+def _plain_key(df: DataFrame, spec: KeyHistory, known: KnownState | None) -> DataFrame:
+    staged = df.withColumns({f"_v_{c}": distinct_text(c) for c in spec.distinct}) if spec.distinct else df
+    staged, before = _with_known(staged, spec, known)
     # The explicit repartition lets the (key, value) windows reuse the key's exchange.
-    values = {f"_v_{c}": distinct_text(c) for c in spec.distinct}
-    staged = df.repartition(spec.key)
-    if values:
-        staged = staged.withColumns(values)
-    return _window_stage(staged, spec, [spec.key], {}).drop(*values)
+    result = _window_stage(staged.repartition(spec.key), spec, [spec.key], before)
+    return result.drop(*_helpers(result))
 
 
-def _chunked_key(df: DataFrame, spec: KeyHistory, hot: DataFrame, chunk_rows: int) -> DataFrame:
+def _chunked_key(df: DataFrame, spec: KeyHistory, known: KnownState | None, hot: DataFrame, chunk_rows: int) -> DataFrame:
     """Same result as ``_plain_key`` with hot keys cut into chunks of bounded size."""
     key = spec.key
-    values = {f"_v_{c}": distinct_text(c) for c in spec.distinct}
     mine = F.broadcast(hot.where(F.col("kind") == key).select(F.col("value").alias(key), F.lit(True).alias("_hot")))
     chunk = F.when(F.col("_hot"), F.floor(F.col("_pos") / F.lit(chunk_rows))).otherwise(F.lit(-1))
     staged = df.join(mine, key, "left").withColumn("_chunk", chunk)
-    if values:
-        staged = staged.withColumns(values)
+    if spec.distinct:
+        staged = staged.withColumns({f"_v_{c}": distinct_text(c) for c in spec.distinct})
+    staged, before = _with_known(staged, spec, known)
     hot_rows = staged.where("_hot")
     sums = sum_columns(spec)
     partial = hot_rows.groupBy(key, "_chunk").agg(
@@ -167,15 +195,16 @@ def _chunked_key(df: DataFrame, spec: KeyHistory, hot: DataFrame, chunk_rows: in
     )
     names = ["n", *sums]
     for c in spec.distinct:
-        first = hot_rows.groupBy(key, f"_v_{c}").agg(F.min("_chunk").alias("_chunk"))
+        values = hot_rows if known is None else hot_rows.where(F.col(f"_known_{c}").isNull())
+        values = values.select(key, f"_v_{c}", "_chunk").distinct()
+        first = values.groupBy(key, f"_v_{c}").agg(F.min("_chunk").alias("_chunk"))
         partial = partial.join(
             first.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias(f"{c}__d")), [key, "_chunk"], "left"
         )
         names.append(f"{c}__d")
         # Values a later chunk meets again; one row per (key, chunk, value).
         seen = (
-            hot_rows.select(key, f"_v_{c}", "_chunk").distinct()
-            .join(first.withColumnRenamed("_chunk", "_first"), [key, f"_v_{c}"])
+            values.join(first.withColumnRenamed("_chunk", "_first"), [key, f"_v_{c}"])
             .where("_first < _chunk").drop("_first").withColumn(f"_seen_{c}", F.lit(True))
         )
         staged = staged.join(seen, [key, "_chunk", f"_v_{c}"], "left")
@@ -186,31 +215,32 @@ def _chunked_key(df: DataFrame, spec: KeyHistory, hot: DataFrame, chunk_rows: in
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_b_{n}") for n in names],
     )
     joined = staged.join(offsets, [key, "_chunk"], "left")
-    before = {n: F.coalesce(F.col(f"_b_{n}"), F.lit(0)) for n in names}
-    before["last"] = F.col("_b_last")
-    result = _window_stage(joined, spec, [key, "_chunk"], before)
-    return result.drop("_hot", "_chunk", "_b_last", *[f"_b_{n}" for n in names], *values,
-                       *[f"_seen_{c}" for c in spec.distinct])
+    totals = {n: F.coalesce(F.col(f"_b_{n}"), F.lit(0)) + before.get(n, F.lit(0)) for n in names}
+    totals["last"] = F.coalesce(F.col("_b_last"), before["last"]) if before else F.col("_b_last")
+    result = _window_stage(joined, spec, [key, "_chunk"], totals)
+    return result.drop(*_helpers(result))
 
 
-def with_history(df: DataFrame, specs: list[KeyHistory] | None = None, *, hot_rows: int = CHUNK_ROWS) -> DataFrame:
+def with_history(
+    df: DataFrame, specs: list[KeyHistory] | None = None, *, hot_rows: int = CHUNK_ROWS, known: KnownState | None = None
+) -> DataFrame:
     """Add past-only features to rows that already carry the row-level features.
 
     One shuffle per key. The count of rows per key decides whether chunking is needed.
+    ``known`` adds history from before these rows.
     """
     specs = [s.present(df.columns) for s in specs or KEY_HISTORIES]
-    keys = [s.key for s in specs]
-    found = hot_keys(df, keys, hot_rows).collect()  # at most MAX_HOT_KEYS rows
+    found = hot_keys(df, [s.key for s in specs], hot_rows).collect()  # at most MAX_HOT_KEYS rows
     if not found:
         for spec in specs:
-            df = _plain_key(df, spec)
+            df = _plain_key(df, spec, known)
         return df
     spark = df.sparkSession
     hot = spark.createDataFrame([(r["kind"], r["value"]) for r in found], "kind string, value string")
     hot_kinds = {r["kind"] for r in found}
     df = ordered(df, event_order(), "history")
     for spec in specs:
-        df = _chunked_key(df, spec, hot, hot_rows) if spec.key in hot_kinds else _plain_key(df, spec)
+        df = _chunked_key(df, spec, known, hot, hot_rows) if spec.key in hot_kinds else _plain_key(df, spec, known)
     return df.drop("_pos")
 
 

@@ -69,14 +69,8 @@ def build(df: DataFrame, specs: list[KeyHistory] | None = None) -> ReferenceStat
     """State of all rows in ``df``; the label is never read."""
     if df.isEmpty():
         raise ValueError("Behavioral reference history cannot be empty")
-    rows = with_v2_row_features(df)
-    specs = [s.present(rows.columns) for s in specs or KEY_HISTORIES]
-    pairs = membership(rows, specs) if any(s.distinct for s in specs) else None
-    keyed = {}
-    for spec in specs:
-        table = _key_sums(rows, spec)
-        keyed[spec.key] = table.join(_pair_counts(pairs, spec), "key", "left") if spec.distinct else table
-    return ReferenceState(keyed, pairs, _metadata(df), specs)
+    columns = with_v2_row_features(df).columns
+    return delta(df, [s.present(columns) for s in specs or KEY_HISTORIES], None)
 
 
 def apply(df: DataFrame, state: ReferenceState) -> DataFrame:
@@ -117,26 +111,50 @@ def require_after_cutoff(df: DataFrame, meta: DataFrame) -> None:
         raise ValueError("Behavioral reference overlaps the transaction being scored")
 
 
-def merge(state: ReferenceState, df: DataFrame, *, check: bool = True) -> ReferenceState:
-    """Fold later rows into the state by adding partial sums per key."""
-    if check:
-        require_after_cutoff(df, state.meta)
+def delta(df: DataFrame, specs: list[KeyHistory], known_pairs: DataFrame | None) -> ReferenceState:
+    """State of new rows alone, with only the pairs that are not known yet."""
     rows = with_v2_row_features(df)
-    tracked = any(s.distinct for s in state.specs)
-    fresh = new_pairs(membership(rows, state.specs), state.pairs, PAIR) if tracked else None
+    tracked = any(s.distinct for s in specs)
+    fresh = membership(rows, specs) if tracked else None
+    if tracked and known_pairs is not None:
+        fresh = new_pairs(fresh, known_pairs, PAIR)
     keyed = {}
-    for spec in state.specs:
-        old, new = state.keyed[spec.key], _key_sums(rows, spec)
-        if spec.distinct:
-            new = new.join(_pair_counts(fresh, spec), "key", "left")
+    for spec in specs:
+        table = _key_sums(rows, spec)
+        keyed[spec.key] = table.join(_pair_counts(fresh, spec), "key", "left") if spec.distinct else table
+    return ReferenceState(keyed, fresh, _metadata(df), specs)
+
+
+def combine(states: list[ReferenceState]) -> ReferenceState:
+    """Add up disjoint states: sums per key, union of pairs, latest end of history."""
+    first = states[0]
+
+    def stacked(tables: list[DataFrame]) -> DataFrame:
+        result = tables[0]
+        for table in tables[1:]:
+            result = result.unionByName(table)
+        return result
+
+    keyed = {}
+    for spec in first.specs:
+        tables = [s.keyed[spec.key] for s in states]
+        old = tables[0]
         sums = [F.sum(n).cast(old.schema[n].dataType).alias(n) for n in ["n", *_sum_names(spec)]]
         sums += [F.coalesce(F.sum(f"{c}__d"), F.lit(0)).alias(f"{c}__d") for c in spec.distinct]
-        keyed[spec.key] = old.unionByName(new).groupBy("key").agg(F.max("last").alias("last"), *sums).select(*old.columns)
-    both = state.meta.unionByName(_metadata(df))
+        keyed[spec.key] = stacked(tables).groupBy("key").agg(F.max("last").alias("last"), *sums).select(*old.columns)
     end = F.max(F.struct("history_end_transaction_dt", "history_end_transaction_id"))
-    meta = both.groupBy("version", "history_rule", "uses_target").agg(end.alias("_e"), F.sum("history_row_count").alias("history_row_count"))
+    meta = stacked([s.meta for s in states]).groupBy("version", "history_rule", "uses_target").agg(
+        end.alias("_e"), F.sum("history_row_count").alias("history_row_count"))
     meta = meta.select("version", "history_rule", "uses_target", "_e.*", "history_row_count")
-    return ReferenceState(keyed, state.pairs.unionByName(fresh) if tracked else None, meta, state.specs)
+    pairs = stacked([s.pairs for s in states]) if first.pairs is not None else None
+    return ReferenceState(keyed, pairs, meta, first.specs)
+
+
+def merge(state: ReferenceState, df: DataFrame, *, check: bool = True) -> ReferenceState:
+    """Fold later rows into the state by adding partial sums per key."""
+    if check:
+        require_after_cutoff(df, state.meta)
+    return combine([state, delta(df, state.specs, state.pairs)])
 
 
 def save(state: ReferenceState, path: str) -> None:
