@@ -58,7 +58,7 @@ def sums_cte(key: str, unit: str, name: str, source: str = "keyed") -> str:
 
 
 def features(spark, sf_dir, hot_rows=ordering.CHUNK_ROWS, specs=None):
-    return history.with_history(with_v2_row_features(txn(spark, sf_dir)), specs, hot_rows=hot_rows)
+    return history.history_features(with_v2_row_features(txn(spark, sf_dir)), specs, hot_rows=hot_rows)
 
 
 def one_key(key: str, **kinds) -> list[history.KeyHistory]:
@@ -181,21 +181,22 @@ def causal_sql() -> str:
 
 
 CAUSAL_SQL = causal_sql()
+ALL_FEATURES = {n for spec in history.KEY_HISTORIES for n in history.spec_features(spec)}
 
 
 def comparable(df):
     """The causal features in the form the SQL returns them."""
-    names = history.feature_names(df.columns)
+    names = [c for c in df.columns if c in ALL_FEATURES]
     exact = ("_prior_count", "_seconds_since_previous", "_numeric_count", "_nunique")
     return df.select("TransactionID", *[F.col(n) if n.endswith(exact) else rounded(n) for n in names])
 
 
 @query("hist_causal_features", CAUSAL_SQL)
 def _causal(spark, sf_dir):
-    return comparable(history.causal_features(txn(spark, sf_dir)))
+    return comparable(features(spark, sf_dir))
 
 
 @query("hist_causal_features_hot_keys", CAUSAL_SQL)
 def _causal_chunked(spark, sf_dir):
-    """Same rows through the hot-key path: any key above 400 rows is cut into chunks."""
+    """Hot keys (above 400 rows) are cut into chunks, and the features join the wide rows."""
     return comparable(history.causal_features(txn(spark, sf_dir), hot_rows=400))

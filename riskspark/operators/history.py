@@ -16,8 +16,10 @@ from riskspark.functions import stats
 from riskspark.functions.row_features import number, with_v2_row_features
 from riskspark.operators.ordering import CHUNK_ROWS, event_order, ordered
 from riskspark.schema import AMOUNT, ID, LABEL, MISSING, TIME
+from riskspark.session import write_through
 
 MAX_HOT_KEYS = 4096
+MAX_CARRIED = 16  # more columns than this are joined back instead of shuffled per key
 
 
 @dataclass(frozen=True)
@@ -151,97 +153,149 @@ def _window_stage(df: DataFrame, spec: KeyHistory, group: list[str], before: dic
 
 
 def _with_known(df: DataFrame, spec: KeyHistory, known: KnownState | None) -> tuple[DataFrame, dict[str, Column]]:
-    """Join what is already known about each key and value; both tables are unique per key."""
+    """Join what is already known about each key and value.
+
+    Both tables are unique per key, and AQE splits the skewed side of these left joins.
+    """
     if known is None:
         return df, {}
-    table = known.keyed[spec.key]
-    names = [c for c in table.columns if c != "key"]
-    df = df.join(table.select(F.col("key").alias(spec.key), *[F.col(n).alias(f"_p_{n}") for n in names]), spec.key, "left")
     for c in spec.distinct:
         pairs = known.pairs.where(F.col("column") == c).select(
             F.col("key").alias(spec.key), F.col("value").alias(f"_v_{c}"), F.lit(True).alias(f"_known_{c}"))
         df = df.join(pairs, [spec.key, f"_v_{c}"], "left")
+    table = known.keyed[spec.key]
+    names = [c for c in table.columns if c != "key"]
+    state = table.select(F.col("key").alias(spec.key), *[F.col(n).alias(f"_p_{n}") for n in names])
     before = {n: F.coalesce(F.col(f"_p_{n}"), F.lit(0)) for n in names if n != "last"}
     before["last"] = F.col("_p_last")
-    return df, before
+    return df.join(state, spec.key, "left"), before
 
 
 def _helpers(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith(("_p_", "_b_", "_v_", "_known_", "_seen_", "_new_", "_hot", "_chunk"))]
+    return [c for c in df.columns if c.startswith(("_p_", "_b_", "_v_", "_known_", "_seen_", "_new_", "_chunk"))]
+
+
+def _value_texts(df: DataFrame, spec: KeyHistory) -> DataFrame:
+    return df.withColumns({f"_v_{c}": distinct_text(c) for c in spec.distinct}) if spec.distinct else df
 
 
 def _plain_key(df: DataFrame, spec: KeyHistory, known: KnownState | None) -> DataFrame:
-    staged = df.withColumns({f"_v_{c}": distinct_text(c) for c in spec.distinct}) if spec.distinct else df
-    staged, before = _with_known(staged, spec, known)
-    # The explicit repartition lets the (key, value) windows reuse the key's exchange.
+    # The repartition by key lets the (key, value) windows reuse the key's exchange.
+    staged, before = _with_known(_value_texts(df, spec), spec, known)
     result = _window_stage(staged.repartition(spec.key), spec, [spec.key], before)
     return result.drop(*_helpers(result))
 
 
-def _chunked_key(df: DataFrame, spec: KeyHistory, known: KnownState | None, hot: DataFrame, chunk_rows: int) -> DataFrame:
-    """Same result as ``_plain_key`` with hot keys cut into chunks of bounded size."""
-    key = spec.key
-    mine = F.broadcast(hot.where(F.col("kind") == key).select(F.col("value").alias(key), F.lit(True).alias("_hot")))
+def _chunk_of(df: DataFrame, key: str, hot: DataFrame, chunk_rows: int, how: str) -> DataFrame:
+    """Chunk number for rows of hot keys, -1 for the others. ``hot`` has at most MAX_HOT_KEYS rows."""
+    mine = hot.where(F.col("kind") == key).select(F.col("value").alias(key), F.lit(True).alias("_hot"))
     chunk = F.when(F.col("_hot"), F.floor(F.col("_pos") / F.lit(chunk_rows))).otherwise(F.lit(-1))
-    staged = df.join(mine, key, "left").withColumn("_chunk", chunk)
-    if spec.distinct:
-        staged = staged.withColumns({f"_v_{c}": distinct_text(c) for c in spec.distinct})
-    staged, before = _with_known(staged, spec, known)
-    hot_rows = staged.where("_hot")
+    return df.join(F.broadcast(mine), key, how).withColumn("_chunk", chunk).drop("_hot")
+
+
+def _chunked_key(
+    df: DataFrame, base: DataFrame, spec: KeyHistory, known: KnownState | None, hot: DataFrame, chunk_rows: int
+) -> DataFrame:
+    """Same result as ``_plain_key`` with hot keys cut into chunks of bounded size.
+
+    Chunk totals are read from ``base``, the written order table, not from the growing plan.
+    """
+    key = spec.key
+    hot_rows = _value_texts(_chunk_of(base, key, hot, chunk_rows, "inner"), spec)
     sums = sum_columns(spec)
     partial = hot_rows.groupBy(key, "_chunk").agg(
         F.count(F.lit(1)).alias("n"), F.max(number(TIME)).alias("last"),
         *[F.sum(measure).alias(name) for name, measure in sums.items()],
     )
     names = ["n", *sums]
+    staged = _value_texts(_chunk_of(df, key, hot, chunk_rows, "left"), spec)
     for c in spec.distinct:
-        values = hot_rows if known is None else hot_rows.where(F.col(f"_known_{c}").isNull())
-        values = values.select(key, f"_v_{c}", "_chunk").distinct()
-        first = values.groupBy(key, f"_v_{c}").agg(F.min("_chunk").alias("_chunk"))
-        partial = partial.join(
-            first.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias(f"{c}__d")), [key, "_chunk"], "left"
-        )
+        value = f"_v_{c}"
+        values = hot_rows.select(key, value, "_chunk").distinct()
+        if known is not None:
+            old = known.pairs.where(F.col("column") == c).select(F.col("key").alias(key), F.col("value").alias(value))
+            values = values.join(old, [key, value], "left_anti")
+        first = values.groupBy(key, value).agg(F.min("_chunk").alias("_chunk"))
+        counts = first.groupBy(key, "_chunk").agg(F.count(F.lit(1)).alias(f"{c}__d"))
+        partial = partial.join(counts, [key, "_chunk"], "left")
         names.append(f"{c}__d")
         # Values a later chunk meets again; one row per (key, chunk, value).
         seen = (
-            values.join(first.withColumnRenamed("_chunk", "_first"), [key, f"_v_{c}"])
+            values.join(first.withColumnRenamed("_chunk", "_first"), [key, value])
             .where("_first < _chunk").drop("_first").withColumn(f"_seen_{c}", F.lit(True))
         )
-        staged = staged.join(seen, [key, "_chunk", f"_v_{c}"], "left")
+        staged = staged.join(seen, [key, "_chunk", value], "left")
     # At most (rows / chunk_rows + sort partitions) rows per key in this window.
     earlier = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = partial.select(
         key, "_chunk", F.max("last").over(earlier).alias("_b_last"),
         *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_b_{n}") for n in names],
     )
-    joined = staged.join(offsets, [key, "_chunk"], "left")
+    staged, before = _with_known(staged, spec, known)
+    joined = staged.repartition(key, "_chunk").join(offsets, [key, "_chunk"], "left")
     totals = {n: F.coalesce(F.col(f"_b_{n}"), F.lit(0)) + before.get(n, F.lit(0)) for n in names}
     totals["last"] = F.coalesce(F.col("_b_last"), before["last"]) if before else F.col("_b_last")
     result = _window_stage(joined, spec, [key, "_chunk"], totals)
     return result.drop(*_helpers(result))
 
 
+def source_columns(specs: list[KeyHistory], columns: list[str]) -> list[str]:
+    """The columns the history of these keys reads."""
+    wanted = {TIME, ID, *[s.key for s in specs], *[c for s in specs for c in s.distinct]}
+    wanted |= {column for s in specs for column, _ in s.numeric.values()} | {AMOUNT}
+    return [c for c in columns if c in wanted]
+
+
+def _histories(
+    df: DataFrame, specs: list[KeyHistory], hot_rows: int, known: KnownState | None
+) -> DataFrame:
+    """Past-only features of the given rows, all their columns kept.
+
+    The rows are written once: the key counts, the chunk totals and the windows read the
+    files instead of repeating the joins behind them.
+    """
+    base = write_through(df, "history-source")
+    found = hot_keys(base, [s.key for s in specs], hot_rows).collect()  # at most MAX_HOT_KEYS rows
+    result = base
+    if not found:
+        for spec in specs:
+            result = _plain_key(result, spec, known)
+        return result
+    hot = df.sparkSession.createDataFrame([(r["kind"], r["value"]) for r in found], "kind string, value string")
+    hot_kinds = {r["kind"] for r in found}
+    base = result = ordered(base, event_order(), "history-order")
+    for spec in specs:
+        if spec.key in hot_kinds:
+            result = _chunked_key(result, base, spec, known, hot, hot_rows)
+        else:
+            result = _plain_key(result, spec, known)
+    return result.drop("_pos")
+
+
+def history_features(
+    df: DataFrame, specs: list[KeyHistory] | None = None, *, hot_rows: int = CHUNK_ROWS, known: KnownState | None = None
+) -> DataFrame:
+    """The id and the past-only features: only the dozen source columns are shuffled, once per key."""
+    specs = [s.present(df.columns) for s in specs or KEY_HISTORIES]
+    narrow = df.select(*source_columns(specs, df.columns))
+    names = [n for s in specs for n in spec_features(s)]
+    return _histories(narrow, specs, hot_rows, known).select(ID, *names)
+
+
 def with_history(
     df: DataFrame, specs: list[KeyHistory] | None = None, *, hot_rows: int = CHUNK_ROWS, known: KnownState | None = None
 ) -> DataFrame:
     """Add past-only features to rows that already carry the row-level features.
 
-    One shuffle per key. The count of rows per key decides whether chunking is needed.
+    Few other columns ride along with the windows. Wide rows stay out of the shuffles per
+    key and get their features by one join on the id, which is unique by contract.
     ``known`` adds history from before these rows.
     """
     specs = [s.present(df.columns) for s in specs or KEY_HISTORIES]
-    found = hot_keys(df, [s.key for s in specs], hot_rows).collect()  # at most MAX_HOT_KEYS rows
-    if not found:
-        for spec in specs:
-            df = _plain_key(df, spec, known)
-        return df
-    spark = df.sparkSession
-    hot = spark.createDataFrame([(r["kind"], r["value"]) for r in found], "kind string, value string")
-    hot_kinds = {r["kind"] for r in found}
-    df = ordered(df, event_order(), "history")
-    for spec in specs:
-        df = _chunked_key(df, spec, known, hot, hot_rows) if spec.key in hot_kinds else _plain_key(df, spec, known)
-    return df.drop("_pos")
+    carried = len(df.columns) - len(source_columns(specs, df.columns))
+    if carried <= MAX_CARRIED:
+        return _histories(df, specs, hot_rows, known)
+    return df.join(history_features(df, specs, hot_rows=hot_rows, known=known), ID)
 
 
 def causal_features(df: DataFrame, *, hot_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -249,16 +303,19 @@ def causal_features(df: DataFrame, *, hot_rows: int = CHUNK_ROWS) -> DataFrame:
     return with_history(with_v2_row_features(df), hot_rows=hot_rows)
 
 
+def spec_features(spec: KeyHistory) -> list[str]:
+    """Feature names of one key, in the order ``derived_features`` gives them."""
+    names = [f"{spec.key}_prior_count", f"{spec.key}_seconds_since_previous"]
+    for prefix, (column, _) in spec.numeric.items():
+        parts = ["prior_numeric_count", "prior_mean", "prior_std"]
+        parts += ["difference", "ratio", "zscore"] if column == AMOUNT else []
+        names += [f"{prefix}_{part}" for part in parts]
+    return names + [f"{spec.key}_{c}_prior_nunique" for c in spec.distinct]
+
+
 def feature_names(columns: list[str]) -> list[str]:
     """Names of the past-only features for a table with these columns."""
-    empty = F.lit(None)
-    names: list[str] = []
-    for spec in KEY_HISTORIES:
-        spec = spec.present(columns)
-        values = {"n": empty, "last": empty, **{n: empty for n in sum_columns(spec)},
-                  **{f"{c}__d": empty for c in spec.distinct}}
-        names += derived_features(spec, values)
-    return names
+    return [n for spec in KEY_HISTORIES for n in spec_features(spec.present(columns))]
 
 
 def leakage_audit(df: DataFrame, changed: DataFrame, upto: Column | None = None) -> DataFrame:
@@ -268,10 +325,10 @@ def leakage_audit(df: DataFrame, changed: DataFrame, upto: Column | None = None)
     before the altered one). Zero means nothing leaked.
     """
     names = feature_names(with_v2_row_features(df).columns)
-    left, right = causal_features(df), causal_features(changed)
+    columns = [ID, TIME, "uid_proxy", *names]
+    left, right = (causal_features(d).select(*columns) for d in (df, changed))
     if upto is not None:
         left, right = left.where(upto), right.where(upto)
-    columns = [ID, *names]
     leaked = left.select(*columns).exceptAll(right.select(*columns)).agg(
         F.lit("past_features_changed").alias("check"), F.count(F.lit(1)).alias("violations")
     )

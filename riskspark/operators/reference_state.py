@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.row_features import number, with_v2_row_features
-from riskspark.operators.history import KEY_HISTORIES, KeyHistory, derived_features, distinct_text, sum_columns
+from riskspark.operators.history import KEY_HISTORIES, KeyHistory, derived_features, distinct_text, source_columns, sum_columns
 from riskspark.operators.joins import new_pairs
 from riskspark.schema import ID, TIME
+from riskspark.session import write_through
 
 PAIR = ["column", "key", "value"]
 
@@ -111,9 +112,16 @@ def require_after_cutoff(df: DataFrame, meta: DataFrame) -> None:
         raise ValueError("Behavioral reference overlaps the transaction being scored")
 
 
-def delta(df: DataFrame, specs: list[KeyHistory], known_pairs: DataFrame | None) -> ReferenceState:
-    """State of new rows alone, with only the pairs that are not known yet."""
+def delta(df: DataFrame, specs: list[KeyHistory], known_pairs: DataFrame | None, *, reuse: bool = True) -> ReferenceState:
+    """State of new rows alone, with only the pairs that are not known yet.
+
+    Four keyed tables, the pairs and the metadata read the rows, so the few columns they
+    need are written once; pass ``reuse=False`` when ``df`` is a written table already.
+    """
     rows = with_v2_row_features(df)
+    rows = rows.select(*source_columns(specs, rows.columns))
+    if reuse:
+        rows = write_through(rows, "state-source")
     tracked = any(s.distinct for s in specs)
     fresh = membership(rows, specs) if tracked else None
     if tracked and known_pairs is not None:
@@ -122,7 +130,7 @@ def delta(df: DataFrame, specs: list[KeyHistory], known_pairs: DataFrame | None)
     for spec in specs:
         table = _key_sums(rows, spec)
         keyed[spec.key] = table.join(_pair_counts(fresh, spec), "key", "left") if spec.distinct else table
-    return ReferenceState(keyed, fresh, _metadata(df), specs)
+    return ReferenceState(keyed, fresh, _metadata(rows), specs)
 
 
 def combine(states: list[ReferenceState]) -> ReferenceState:

@@ -64,7 +64,7 @@ class StreamJob:
         return ref.combine(parts) if len(parts) > 1 else parts[0]
 
     def _store(self, batch: int, state: ref.ReferenceState, accepted: DataFrame) -> None:
-        ref.save(ref.delta(accepted, self.specs, state.pairs), self._folder("delta", batch))
+        ref.save(ref.delta(accepted, self.specs, state.pairs, reuse=False), self._folder("delta", batch))
         if batch > 0 and batch % self.compact_every == 0:
             added = ref.load(self.spark, self._folder("delta", batch), self.specs)
             ref.save(ref.combine([state, added]), self._folder("base", batch))
