@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
+    MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
+)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.operators import encoders, evaluation
@@ -166,3 +170,23 @@ def feature_importance(fitted: FittedModel, top: int = 100) -> DataFrame:
 
 def scores_of(fitted: FittedModel, df: DataFrame) -> DataFrame:
     return fitted.score(df).select(ID, LABEL, "probability")
+
+
+MODEL_CLASSES = {c.__name__: c for c in (LogisticRegressionModel, GBTClassificationModel, MultilayerPerceptronClassificationModel)}
+
+
+def save_model(fitted: FittedModel, path: str) -> None:
+    """Model, encoder numbers and level table under one folder."""
+    spark = fitted.state["levels"].sparkSession
+    fitted.model.write().overwrite().save(f"{path}/model")
+    fitted.state["levels"].write.mode("overwrite").parquet(f"{path}/levels")
+    numbers = {k: v for k, v in fitted.state.items() if k != "levels"}
+    record = {"identifier": fitted.identifier, "features": fitted.features, "state": numbers, "class": type(fitted.model).__name__}
+    spark.createDataFrame([(json.dumps(record),)], "record string").coalesce(1).write.mode("overwrite").text(f"{path}/record")
+
+
+def load_model(spark: SparkSession, path: str) -> FittedModel:
+    record = json.loads(spark.read.text(f"{path}/record", wholetext=True).first()[0])  # one small document
+    state = {**record["state"], "levels": spark.read.parquet(f"{path}/levels")}
+    model = MODEL_CLASSES[record["class"]].load(f"{path}/model")
+    return FittedModel(record["identifier"], state, model, record["features"])
