@@ -126,7 +126,7 @@ def _nested(spark, sf_dir):
     rows = cases.nested_runs(demo.runs(spark, sf_dir), demo.history_transactions(spark, sf_dir), demo.history_predictions(spark, sf_dir), page_rows=250)
     inner = lambda t: F.array_join(F.transform(t["predictions"], lambda p: F.concat_ws("/", p["model_identifier"], p["decision"].cast("string"))), ",")
     nested = F.array_join(F.transform("transactions", lambda t: F.concat(t["ordinal"].cast("string"), F.lit("="), inner(t))), ";")
-    return rows.select("run_id", "page", F.size("transactions").alias("transactions"), F.col("transactions")[0]["ordinal"].alias("first_ordinal"), nested.alias("nested"))
+    return rows.select("run_id", "page", F.size("transactions").cast("bigint").alias("transactions"), F.col("transactions")[0]["ordinal"].alias("first_ordinal"), nested.alias("nested"))
 
 
 @query("export_history_flat", case_sql("""
@@ -210,7 +210,7 @@ RANKED = """ranked as (select *, row_number() over (partition by transaction_id,
 select transaction_id, model_identifier, feature, contribution, rank, case when contribution >= 0 then 'toward_fraud' else 'toward_not_fraud' end as direction from ranked where rank <= 5""", RANKED))
 def _rank(spark, sf_dir):
     ranked = contributions.rank_contributions(demo.contributions(spark, sf_dir), ["transaction_id", "model_identifier"])
-    return ranked.select("transaction_id", "model_identifier", "feature", "contribution", "rank", "direction")
+    return ranked.select("transaction_id", "model_identifier", "feature", "contribution", F.col("rank").cast("bigint").alias("rank"), "direction")
 
 
 LABELLED = """labelled as (select *, case when feature like '%seconds_since_previous%' then 'time since the previous related transaction' when feature like '%prior_mean%' then 'historical average transaction amount'

@@ -304,9 +304,9 @@ def _pruned(spark, sf_dir):
     return readers.scan_parquet(spark, path)
 
 
-@query("point_lookup", "select * from orders where o_orderkey = 4242")
+@query("point_lookup", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders where o_orderkey = 4242")
 def _lookup(spark, sf_dir):
-    return readers.point_lookup(table(spark, sf_dir, "orders"), 4242, "o_orderkey")
+    return readers.point_lookup(table(spark, sf_dir, "orders").drop("o_orderdate"), 4242, "o_orderkey")
 
 
 SEQUENCED = "sequenced as (select *, row_number() over (order by TransactionDT, TransactionID) - 1 as sequence_number from txn)"

@@ -135,7 +135,7 @@ def _window_stage(df: DataFrame, spec: KeyHistory, group: list[str], before: dic
         return inside + before[name] if name in before else inside
 
     value_of = {
-        "n": F.row_number().over(window) - 1 + before.get("n", zero),
+        "n": (F.row_number().over(window) - 1 + before.get("n", zero)).cast("bigint"),
         "last": F.coalesce(F.lag(number(TIME)).over(window), *([before["last"]] if "last" in before else [])),
     }
     for name, measure in sum_columns(spec).items():
