@@ -360,7 +360,9 @@ def _upsert(spark, sf_dir):
     return sinks.upsert_latest(base, updates, ["o_orderkey"], F.col("v"))
 
 
-@query("sink_split_parquet")
+@query("sink_split_parquet", txn_sql("""
+select split, count(*) as rows from (select case when rn < cast(floor(n * 0.7::double) as bigint) then 'train' when rn < cast(floor(n * (0.7::double + 0.15::double)) as bigint) then 'validation' else 'test' end as split
+  from (select row_number() over (order by TransactionDT, TransactionID) - 1 as rn, count(*) over () as n from txn)) group by 1"""))
 def _split_sink(spark, sf_dir):
     from riskspark.operators import sampling
     path = scratch_path(spark, "splits")
@@ -370,7 +372,9 @@ def _split_sink(spark, sf_dir):
     return written.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("sink_report_csv")
+@query("sink_report_csv", txn_sql("""
+select 'prediction_results' as file, count(*) filter (where copies = 1 and (error_message is null or error_message like 'Behavioral%')) as rows from judged
+union all select 'invalid_rows', count(*) filter (where not (copies = 1 and (error_message is null or error_message like 'Behavioral%'))) from judged""", DIRTY, JUDGED))
 def _report(spark, sf_dir):
     valid, invalid = contract.quarantine_split(dirty(spark, sf_dir), ordinal="ordinal")
     summary = contract.validate_rows(dirty(spark, sf_dir)).agg(

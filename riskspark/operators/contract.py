@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.row_features import number
 from riskspark.schema import AMOUNT, ID, LABEL, TIME, column_type, contract_columns, identity_value_columns
+from riskspark.session import write_through
 
 # Error codes and messages reported for a refused row.
 DUPLICATE_CODE = "duplicate_transaction_id"
@@ -68,13 +69,16 @@ def duplicate_flag(df: DataFrame, name: str = "is_duplicate") -> DataFrame:
     """Flag every copy of a repeated id.
 
     Counts combine before the shuffle and only repeated ids come back, so a huge group of
-    copies never meets in one task; the skewed side of the join is split by AQE.
+    copies never meets in one task. The repeated ids are written first: the planner sees
+    their real size, broadcasts a short list without shuffling the rows, and joins a long
+    one by shuffle, where AQE splits the skewed side.
     """
     keyed = df.withColumn("_id_text", _id_text())
     repeated = (
         keyed.groupBy("_id_text").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
         .select("_id_text", F.lit(True).alias(name))
     )
+    repeated = write_through(repeated, "repeated-ids")
     return keyed.join(repeated, "_id_text", "left").drop("_id_text").withColumn(name, F.coalesce(name, F.lit(False)))
 
 

@@ -17,6 +17,7 @@ from riskspark.functions.row_features import number
 from riskspark.operators.ordering import exact_quantiles, running_totals
 from riskspark.operators.profiling import value_counts
 from riskspark.schema import MISSING, OTHER, UNKNOWN
+from riskspark.session import write_through
 
 # Encoder parameters and reserved vocabulary numbers.
 RARE_MIN_COUNT = 20
@@ -31,12 +32,16 @@ def clean(column: str) -> Column:
 
 
 def fit_levels(train: DataFrame, columns: list[str], *, rare_min_count: int = RARE_MIN_COUNT) -> DataFrame:
-    """(column, value, n, share, kept): every value seen in training, NULL as MISSING."""
+    """(column, value, n, share, kept): every value seen in training, NULL as MISSING.
+
+    Written as the fitted artefact, so later joins are planned from its real size.
+    """
     counts = value_counts(train.select(*[clean(c).alias(c) for c in columns]), columns)
     total = counts.groupBy("column").agg(F.sum("n").alias("_total"))
-    return counts.join(F.broadcast(total), "column").select(  # one row per column
+    levels = counts.join(F.broadcast(total), "column").select(  # one row per column
         "column", "value", "n", (F.col("n") / F.col("_total")).alias("share"), (F.col("n") >= rare_min_count).alias("kept")
     )
+    return write_through(levels, "levels")
 
 
 def apply_frequency(df: DataFrame, levels: DataFrame, columns: list[str]) -> DataFrame:

@@ -32,12 +32,12 @@ def pr_curve(
 ) -> DataFrame:
     """One row per distinct score: counts at or above it, precision and recall."""
     by = by or []
-    counts = score_counts(df, score, label, by)
+    order = [*[F.col(c) for c in by], F.col("score").desc()]
+    counts = ordered(score_counts(df, score, label, by), order, "scores")
     curve = running_totals(
-        counts, [F.col("score").desc()], {"tp": F.col("positives"), "fp": F.col("negatives")}, by=by, chunk_rows=chunk_rows
+        counts, order, {"tp": F.col("positives"), "fp": F.col("negatives")}, by=by, chunk_rows=chunk_rows, presorted=True
     )
-    totals = _totals(curve, by)
-    joined = _with_totals(curve, totals, by)
+    joined = _with_totals(curve, _totals(counts, by), by)
     return joined.select(
         *by, "score", "positives", "negatives", "tp", "fp", "p_total", "n_total",
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
@@ -45,8 +45,8 @@ def pr_curve(
     )
 
 
-def _totals(curve: DataFrame, by: list[str]) -> DataFrame:
-    return curve.groupBy(*by).agg(F.sum("positives").alias("p_total"), F.sum("negatives").alias("n_total"))
+def _totals(counts: DataFrame, by: list[str]) -> DataFrame:
+    return counts.groupBy(*by).agg(F.sum("positives").alias("p_total"), F.sum("negatives").alias("n_total"))
 
 
 def _with_totals(curve: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
@@ -116,11 +116,11 @@ def capacity(
     by = by or []
     narrow = df.select(*by, F.col(score).alias("score"), F.col(label).cast("bigint").alias("label"), ID)
     order = [*[F.col(c) for c in by], F.col("score").desc(), F.col(ID)]
+    rows = ordered(narrow, order, "capacity")
     ranked = running_totals(
-        ordered(narrow, order, "capacity"), order, {"rank": F.lit(1), "captured": F.col("label")}, by=by,
-        chunk_rows=chunk_rows, presorted=True,
+        rows, order, {"rank": F.lit(1), "captured": F.col("label")}, by=by, chunk_rows=chunk_rows, presorted=True
     )
-    totals = narrow.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"))
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"))
     shares = F.explode(F.array(*[
         F.struct(F.lit(n).alias("share"), F.greatest(F.ceil(F.col("rows") * F.lit(f)), F.lit(1)).alias("rank"))
         for n, f in CAPACITY_SHARES.items()

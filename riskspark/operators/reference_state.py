@@ -15,7 +15,7 @@ from riskspark.functions.row_features import number, with_v2_row_features
 from riskspark.operators.history import KEY_HISTORIES, KeyHistory, derived_features, distinct_text, source_columns, sum_columns
 from riskspark.operators.joins import new_pairs
 from riskspark.schema import ID, TIME
-from riskspark.session import write_through
+from riskspark.session import scratch_path, write_through
 
 PAIR = ["column", "key", "value"]
 
@@ -66,12 +66,19 @@ def _metadata(rows: DataFrame) -> DataFrame:
     )
 
 
+def frozen(state: ReferenceState) -> ReferenceState:
+    """The state as written tables, so that lookups are planned from their real sizes."""
+    path = scratch_path(state.meta.sparkSession, "state")
+    save(state, path)
+    return load(state.meta.sparkSession, path, state.specs)
+
+
 def build(df: DataFrame, specs: list[KeyHistory] | None = None) -> ReferenceState:
     """State of all rows in ``df``; the label is never read."""
     if df.isEmpty():
         raise ValueError("Behavioral reference history cannot be empty")
     columns = with_v2_row_features(df).columns
-    return delta(df, [s.present(columns) for s in specs or KEY_HISTORIES], None)
+    return frozen(delta(df, [s.present(columns) for s in specs or KEY_HISTORIES], None))
 
 
 def apply(df: DataFrame, state: ReferenceState) -> DataFrame:

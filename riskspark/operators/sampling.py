@@ -14,7 +14,7 @@ from riskspark.schema import ID, LABEL, TIME
 # folds themselves divide the first 85 percent.
 FOLD_BOUNDS = [(0.45, 0.55), (0.60, 0.70), (0.70, 0.85)]
 DEVELOPMENT_SHARE = 0.85
-HASH_BUCKETS = 4096
+MAX_STRATA = 100
 
 
 def _position_keys(df: DataFrame, positions: list[int]) -> dict[int, tuple]:
@@ -106,7 +106,9 @@ def take_per_stratum(df: DataFrame, stratum: str, quotas: dict, seed: int) -> Da
 
 
 def _stratum_sizes(df: DataFrame, stratum: str) -> list[tuple]:
-    rows = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).collect()  # a handful of classes
+    rows = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"{stratum} has more than {MAX_STRATA} values and is not a class label")
     return [(r[stratum], r["n"]) for r in sorted(rows, key=lambda r: (-r["n"], str(r[stratum])))]
 
 

@@ -24,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/riskspark/{label}-{uuid.uuid4().hex}"
+    """A new folder per table, grouped by application so that one rule can expire them."""
+    return f"{shared_dir(spark)}/riskspark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def write_through(df: DataFrame, label: str) -> DataFrame:
