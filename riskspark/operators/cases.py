@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskspark.operators.ordering import exact_quantiles
 from riskspark.schema import MODEL_NAMES
+from riskspark.session import single_row
 
 # Analyst actions that set a status; NOTE_ADDED leaves it.
 STATUS_BY_ACTION = {
@@ -89,13 +90,14 @@ def batch_summary(predictions: DataFrame, refused: DataFrame, key: list[str]) ->
     rows = votes.agg(
         F.count(F.lit(1)).alias("valid_rows"), F.count_if("unanimous").alias("model_agreement_count"),
         F.round(F.coalesce(F.sum(F.when(F.col("fraud_vote_count") > 0, F.col("amount").cast("decimal(18,6)"))), F.lit(0)), 2)
-        .cast("double").alias("suspicious_transaction_value"), F.lit(1).alias("_one"),
+        .cast("double").alias("suspicious_transaction_value"),
     )
     models = predictions.groupBy("model_identifier").agg(F.count_if("decision").alias("n")).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("model_identifier", "n")))).alias("fraud_count_by_model"), F.lit(1).alias("_one")
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("model_identifier", "n")))).alias("fraud_count_by_model")
     )
-    invalid = refused.agg(F.count(F.lit(1)).alias("invalid_rows"), F.lit(1).alias("_one"))
-    return rows.join(models, "_one").join(invalid, "_one").select(
+    invalid = refused.agg(F.count(F.lit(1)).alias("invalid_rows"))
+    whole = rows.withColumns({"_m": single_row(models), "_i": single_row(invalid)}).select(*rows.columns, "_m.*", "_i.*")
+    return whole.select(
         (F.col("valid_rows") + F.col("invalid_rows")).alias("total_rows"), "valid_rows", "invalid_rows",
         F.col("valid_rows").alias("processed_rows"), F.lit(0).cast("bigint").alias("failed_rows"), "fraud_count_by_model",
         "model_agreement_count", "suspicious_transaction_value",
@@ -251,10 +253,10 @@ def recent_runs(runs: DataFrame, *, client_id: str, mode: str, limit: int, offse
 
 def overview_kpis(runs: DataFrame, alerts: DataFrame, models: DataFrame) -> DataFrame:
     """Alert rate, suspicious sum and the champion with the best validation score."""
-    one = F.lit(1).alias("_one")
-    processed = runs.agg(F.sum("processed_count").alias("transactions_processed"), one)
-    raised = alerts.agg(F.count(F.lit(1)).alias("fraud_alerts"), F.round(F.sum(F.col("suspicious_amount").cast("decimal(18,6)")), 2).cast("double").alias("suspicious_value"), one)
-    best = models.where("champion").agg(F.max_by("model_identifier", "validation_pr_auc").alias("best_champion"), one)
-    return processed.join(raised, "_one").join(best, "_one").select(
+    processed = runs.agg(F.sum("processed_count").alias("transactions_processed"))
+    raised = alerts.agg(F.count(F.lit(1)).alias("fraud_alerts"), F.round(F.sum(F.col("suspicious_amount").cast("decimal(18,6)")), 2).cast("double").alias("suspicious_value"))
+    best = models.where("champion").agg(F.max_by("model_identifier", "validation_pr_auc").alias("best_champion"))
+    whole = processed.withColumns({"_r": single_row(raised), "_b": single_row(best)}).select("transactions_processed", "_r.*", "_b.*")
+    return whole.select(
         "transactions_processed", "fraud_alerts", F.coalesce(F.try_divide("fraud_alerts", "transactions_processed"), F.lit(0.0)).alias("alert_rate"),
         "suspicious_value", "best_champion")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskspark.operators.ordering import CHUNK_ROWS, ordered, running_totals
 from riskspark.schema import ID, LABEL
+from riskspark.session import single_row
 
 # Review shares, precision floor and clipping of blended scores.
 CAPACITY_SHARES = {"top_1_percent": 0.01, "top_5_percent": 0.05, "top_10_percent": 0.10}
@@ -52,8 +53,7 @@ def _totals(counts: DataFrame, by: list[str]) -> DataFrame:
 def _with_totals(curve: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
     if by:
         return curve.join(totals, by)
-    one = F.lit(1).alias("_one")  # a single row of totals, joined on a constant
-    return curve.select("*", one).join(F.broadcast(totals.select("*", one)), "_one").drop("_one")
+    return curve.withColumn("_t", single_row(totals)).select(*curve.columns, "_t.*")
 
 
 def ranking_metrics(curve: DataFrame, by: list[str] | None = None) -> DataFrame:

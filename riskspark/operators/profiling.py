@@ -11,6 +11,7 @@ from riskspark.operators.ordering import EVENT_ORDER, exact_quantiles
 from riskspark.schema import (
     AMOUNT, CODE_COLUMNS, ID, LABEL, TIME, is_category, is_text,
 )
+from riskspark.session import single_row
 
 DAY = 86_400
 
@@ -61,7 +62,7 @@ def profile_table(df: DataFrame, name: str) -> DataFrame:
         "name": F.lit(name), "columns": F.lit(len(columns)), "numeric": F.lit(len(numeric)),
         "categorical": F.lit(len(columns) - len(numeric)),
     })
-    return counted.join(duplicate_row_count(df).withColumn("name", F.lit(name)), "name")
+    return counted.withColumn("_d", single_row(duplicate_row_count(df))).select(*counted.columns, "_d.*")
 
 
 def profile_missing(df: DataFrame, top: int = 25) -> DataFrame:
@@ -274,5 +275,4 @@ def dataset_summary(df: DataFrame, payload: str | None = None) -> DataFrame:
     if payload is None:
         return base
     fields = df.select(F.explode(F.json_object_keys(payload)).alias("f")).agg(F.count_distinct("f").alias("distinct_payload_fields"))
-    key = F.lit(1).alias("_one")
-    return base.select("*", key).join(fields.select("*", key), "_one").drop("_one")
+    return base.withColumn("_f", single_row(fields)).select(*base.columns, "_f.*")

@@ -15,7 +15,7 @@ from riskspark.functions.row_features import number, with_v2_row_features
 from riskspark.operators.history import KEY_HISTORIES, KeyHistory, derived_features, distinct_text, source_columns, sum_columns
 from riskspark.operators.joins import new_pairs
 from riskspark.schema import ID, TIME
-from riskspark.session import scratch_path, write_through
+from riskspark.session import scratch_path, single_row, write_through
 
 PAIR = ["column", "key", "value"]
 
@@ -100,12 +100,11 @@ def apply(df: DataFrame, state: ReferenceState) -> DataFrame:
 def cutoff_violations(df: DataFrame, meta: DataFrame) -> DataFrame:
     """Rows at or before the end of history, and whether the state is usable at all."""
     end = meta.select(
-        F.lit(1).alias("_one"), F.struct(F.col("history_end_transaction_dt").alias("t"), F.col("history_end_transaction_id").alias("i")).alias("_end"),
+        F.struct(F.col("history_end_transaction_dt").alias("t"), F.col("history_end_transaction_id").alias("i")).alias("_end"),
         (~F.coalesce("uses_target", F.lit(True))).alias("_free"),
     )
     here = F.struct(number(TIME).alias("t"), F.col(ID).cast("long").alias("i"))
-    joined = df.select(F.lit(1).alias("_one"), here.alias("_row")).join(F.broadcast(end), "_one", "left")  # one row of metadata
-    return joined.agg(
+    return df.select(here.alias("_row"), single_row(end).alias("_m")).select("_row", "_m.*").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_end") >= F.col("_row")).alias("overlapping_rows"),
         F.coalesce(F.bool_and(F.col("_free") & F.col("_end.t").isNotNull() & F.col("_end.i").isNotNull()), F.lit(False)).alias("state_usable"),
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +29,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/riskspark/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def single_row(df: DataFrame) -> Column:
+    """A one-row aggregate as a struct constant of another query (a scalar subquery, no join)."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def write_through(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -22,7 +22,7 @@ from riskspark.operators.cases import apply_threshold, derive_alerts
 from riskspark.operators.contract import DUPLICATE_CODE, DUPLICATE_TEXT, validate_rows
 from riskspark.operators.history import KEY_HISTORIES, KeyHistory, KnownState, with_history
 from riskspark.schema import AMOUNT, ID, TIME
-from riskspark.session import write_through
+from riskspark.session import single_row, write_through
 from riskspark.streaming.replay import paced, read_replay
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -107,14 +107,13 @@ class StreamJob:
 
     def _counters(self, judged: DataFrame, batch: int) -> DataFrame:
         alerts = self.spark.read.parquet(self._output("alerts", batch))
-        one = F.lit(1).alias("_one")
         rows = judged.agg(
             F.count(F.lit(1)).alias("received_count"), F.count_if(F.col("error_code").isNull()).alias("processed_count"),
-            F.count_if(F.col("error_code").isNotNull()).alias("failed_count"), F.max(self.sequence).alias("current_sequence"), one)
+            F.count_if(F.col("error_code").isNotNull()).alias("failed_count"), F.max(self.sequence).alias("current_sequence"))
         flagged = alerts.agg(
             F.count(F.lit(1)).alias("fraud_count"),
-            F.coalesce(F.sum(F.col("suspicious_amount").cast("decimal(18,6)")), F.lit(0)).cast("double").alias("suspicious_value"), one)
-        return rows.join(flagged, "_one").drop("_one")
+            F.coalesce(F.sum(F.col("suspicious_amount").cast("decimal(18,6)")), F.lit(0)).cast("double").alias("suspicious_value"))
+        return rows.withColumn("_f", single_row(flagged)).select(*rows.columns, "_f.*")
 
     def _output(self, name: str, batch: int) -> str:
         return f"{self.out_dir}/{name}/batch={batch}"
