@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded, r, txn_sql
 from riskspark.operators import cases, contract, contributions
 from riskspark.sources import demo_cases as demo
-from riskspark.sources.demo_tables import table
+from riskspark.session import write_through
 
 KEY = ["run_id", "transaction_id"]
 MODELS = list(demo.THRESHOLDS)
@@ -112,7 +112,8 @@ left join (select alert_id, count(*) as n, arg_max(action || ' by ' || analyst_i
 left join lifecycle e using (run_id, transaction_id) left join (select TransactionID, ProductCD as payload_product from txn) t on t.TransactionID = a.transaction_id"""))
 def _detail(spark, sf_dir):
     payloads = demo.history_transactions(spark, sf_dir).select("transaction_id", "input_payload")
-    detail = cases.alert_detail(demo.alerts(spark, sf_dir), demo.predictions(spark, sf_dir), demo.actions(spark, sf_dir), demo.events(spark, sf_dir), payloads)
+    stored = write_through(demo.alerts(spark, sf_dir), "alerts")  # a stored table, read in several places
+    detail = cases.alert_detail(stored, demo.predictions(spark, sf_dir), demo.actions(spark, sf_dir), demo.events(spark, sf_dir), payloads)
     shown = listed("predictions", lambda x: x["model_identifier"], lambda x: x["decision"], lambda x: x["actual_label"], lambda x: F.floor(x["latency_ms"]))
     latest = F.concat(F.col("latest_action.action"), F.lit(" by "), F.col("latest_action.analyst_identifier"))
     return detail.select("alert_id", "transaction_id", shown.alias("predictions"), "action_count", latest.alias("latest_action"), "arrival_time",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, rounded, r, txn_sql
 from checks.table_checks import SPLIT_SQL
 from riskspark.operators import encoders, evaluation, ordering
+from riskspark.session import write_through
 from riskspark.sources.demo_tables import txn
 
 CUT = 86_400 * 22  # training rows end here in the encoder checks
@@ -60,7 +61,7 @@ VOCAB = ["ProductCD", "id_31", "card1"]
 def _vocabulary(spark, sf_dir):
     train, _ = parts(spark, sf_dir)
     levels = encoders.fit_levels(train, VOCAB)
-    encoded = encoders.apply_vocabulary(txn(spark, sf_dir), levels, encoders.fit_vocabulary(levels), VOCAB)
+    encoded = encoders.apply_vocabulary(txn(spark, sf_dir), encoders.fit_vocabulary(levels), VOCAB)
     return encoded.select("TransactionID", *[F.col(f"{c}__index").cast("bigint").alias(f"{c}__index") for c in VOCAB])
 
 
@@ -140,7 +141,7 @@ def threshold_sql(floor):
 
 @query("eval_threshold", threshold_sql("('0.10', 0.10), ('0.05', 0.05), ('0.99', 0.99)"))
 def _threshold(spark, sf_dir):
-    curve = evaluation.pr_curve(txn(spark, sf_dir))
+    curve = write_through(evaluation.pr_curve(txn(spark, sf_dir)), "curve")
     rows = None
     for text in ("0.10", "0.05", "0.99"):
         one = evaluation.operating_threshold(curve, floor=float(text)).select(

@@ -80,7 +80,10 @@ def apply_rare_levels(df: DataFrame, levels: DataFrame, columns: list[str]) -> D
 
 
 def fit_vocabulary(levels: DataFrame) -> DataFrame:
-    """(column, value, index): reserved numbers first, then kept values in order."""
+    """(column, value, index): reserved numbers first, kept values in order, rare ones as OTHER.
+
+    Written as the fitted artefact, so later joins are planned from its real size.
+    """
     kept = levels.where(F.col("kept") & ~F.col("value").isin(list(RESERVED))).select("column", "value")
     # A column may keep many values, so the ranks come from the distributed cumulative sum.
     ranked = running_totals(kept, [F.col("value")], {"_rank": F.lit(1)}, by=["column"]).select(
@@ -89,16 +92,15 @@ def fit_vocabulary(levels: DataFrame) -> DataFrame:
     reserved = levels.select("column").distinct().select(
         "column", F.explode(F.create_map(*[F.lit(x) for pair in RESERVED.items() for x in pair])).alias("value", "index")
     )
-    return reserved.unionByName(ranked)
+    rare = levels.where(~F.col("kept") & ~F.col("value").isin(list(RESERVED))).select(
+        "column", "value", F.lit(RESERVED[OTHER]).alias("index"))
+    return write_through(reserved.unionByName(ranked).unionByName(rare), "vocabulary")
 
 
-def apply_vocabulary(df: DataFrame, levels: DataFrame, vocabulary: DataFrame, columns: list[str]) -> DataFrame:
+def apply_vocabulary(df: DataFrame, vocabulary: DataFrame, columns: list[str]) -> DataFrame:
     """Vocabulary number of each value; rare training values are OTHER, unseen UNKNOWN."""
-    table = levels.join(vocabulary, ["column", "value"], "full_outer").select(
-        "column", "value", F.coalesce("index", F.lit(RESERVED[OTHER])).alias("_index")
-    )
     for c in columns:
-        mine = table.where(F.col("column") == c).select(F.col("value").alias("_k"), F.col("_index"))
+        mine = vocabulary.where(F.col("column") == c).select(F.col("value").alias("_k"), F.col("index").alias("_index"))
         df = df.withColumn("_k", clean(c)).join(mine, "_k", "left")
         df = df.withColumn(f"{c}__index", F.coalesce("_index", F.lit(RESERVED[UNKNOWN]))).drop("_k", "_index")
     return df

@@ -7,12 +7,12 @@ and curves of several models or splits are computed together with ``by``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.operators.ordering import CHUNK_ROWS, ordered, running_totals
 from riskspark.schema import ID, LABEL
-from riskspark.session import single_row
+from riskspark.session import single_row, write_through
 
 # Review shares, precision floor and clipping of blended scores.
 CAPACITY_SHARES = {"top_1_percent": 0.01, "top_5_percent": 0.05, "top_10_percent": 0.10}
@@ -145,14 +145,18 @@ def logit(p: Column) -> Column:
     return F.ln(clipped / (1 - clipped))
 
 
-def blend_fit(df: DataFrame, first: str, second: str, *, label: str = LABEL, grid: int = GRID) -> DataFrame:
+def blend_fit(
+    df: DataFrame, first: str, second: str, *, label: str = LABEL, grid: int = GRID, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Average precision of every first-model weight on the grid, best first.
 
-    Equal score pairs are grouped before they are multiplied by the grid.
+    Equal score pairs are grouped before they are multiplied by the grid. While the pairs
+    fit one task, each weight is one window group; more pairs take the chunked totals.
     """
     pairs = df.groupBy(first, second).agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives")
-    ).withColumns({"_a": logit(F.col(first)), "_b": logit(F.col(second))})
+    )
+    pairs = write_through(pairs, "score-pairs").withColumns({"_a": logit(F.col(first)), "_b": logit(F.col(second))})
     # The weight is step * position, the last one exactly 1, as a linear grid gives it.
     step = 1.0 / (grid - 1)
     gridded = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid"))
@@ -160,8 +164,14 @@ def blend_fit(df: DataFrame, first: str, second: str, *, label: str = LABEL, gri
     scored = gridded.withColumn("w", weight).select(
         "grid", "w", (F.col("w") * F.col("_a") + (1 - F.col("w")) * F.col("_b")).alias("score"), "positives", "negatives"
     )
-    counts = scored.groupBy("grid", "w", "score").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
-    curve = running_totals(counts, [F.col("score").desc()], {"tp": F.col("positives"), "fp": F.col("negatives")}, by=["grid"])
+    if pairs.count() <= chunk_rows:
+        # The default frame takes in ties, so equal scores share their totals.
+        at_or_above = Window.partitionBy("grid").orderBy(F.desc("score"))
+        curve = scored.select("*", F.sum("positives").over(at_or_above).alias("tp"), F.sum("negatives").over(at_or_above).alias("fp"))
+    else:
+        counts = scored.groupBy("grid", "w", "score").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+        curve = running_totals(
+            counts, [F.col("score").desc()], {"tp": F.col("positives"), "fp": F.col("negatives")}, by=["grid"], chunk_rows=chunk_rows)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     return curve.groupBy("grid").agg(
         F.max("w").alias("first_weight"), (1 - F.max("w")).alias("second_weight"),

@@ -13,7 +13,7 @@ def test_rare_and_unseen(spark):
     score = spark.createDataFrame([("C",), ("NEVER_SEEN",), (None,), ("W",)], "ProductCD string")
     assert [r["ProductCD"] for r in rows(enc.apply_rare_levels(score, levels, ["ProductCD"]))] == ["OTHER", "UNKNOWN", "MISSING", "W"]
     vocabulary = enc.fit_vocabulary(levels)
-    found = {r["ProductCD"]: r["ProductCD__index"] for r in rows(enc.apply_vocabulary(score, levels, vocabulary, ["ProductCD"]))}
+    found = {r["ProductCD"]: r["ProductCD__index"] for r in rows(enc.apply_vocabulary(score, vocabulary, ["ProductCD"]))}
     assert found == {"C": 2, "NEVER_SEEN": 1, None: 0, "W": 3}
 
 
@@ -22,7 +22,7 @@ def test_missing_never_seen_in_training(spark):
     levels = enc.fit_levels(train, ["x"])
     score = spark.createDataFrame([(None,)], "x string")
     assert rows(enc.apply_rare_levels(score, levels, ["x"]))[0]["x"] == "UNKNOWN"
-    assert rows(enc.apply_vocabulary(score, levels, enc.fit_vocabulary(levels), ["x"]))[0]["x__index"] == 0
+    assert rows(enc.apply_vocabulary(score, enc.fit_vocabulary(levels), ["x"]))[0]["x__index"] == 0
 
 
 def test_frequency(spark):

@@ -70,6 +70,8 @@ def test_blend(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(zip(y, a, b))], "TransactionID long, isFraud int, a double, b double")
     fitted = e.blend_fit(df, "a", "b", grid=11)
     assert all(abs(r["first_weight"] + r["second_weight"] - 1) < 1e-12 for r in rows(fitted))
+    chunked = {r["grid"]: r["average_precision"] for r in rows(e.blend_fit(df, "a", "b", grid=11, chunk_rows=2))}
+    assert chunked == {r["grid"]: pytest.approx(r["average_precision"]) for r in rows(fitted)}
     weight = e.best_weight(fitted)
     assert weight == 0.0  # several weights rank perfectly and the first wins
     mixed = [r["p"] for r in rows(df.select(e.blend(F.col("a"), F.col("b"), 0.3).alias("p")))]
