@@ -87,10 +87,13 @@ def _finite(value: Column) -> Column:
 
 
 def validate_rows(
-    df: DataFrame, *, cutoff: tuple[float, int] | None = None, contract: list[str] | None = None
+    df: DataFrame, *, cutoff: tuple[float, int] | None = None, contract: list[str] | None = None, unique: bool = False
 ) -> DataFrame:
-    """Add ``error_code`` and ``error_message``; the first failing check wins."""
-    flagged = duplicate_flag(df, "_duplicate")
+    """Add ``error_code`` and ``error_message``; the first failing check wins.
+
+    ``unique`` says that ids are known not to repeat, which saves counting them.
+    """
+    flagged = df.withColumn("_duplicate", F.lit(False)) if unique else duplicate_flag(df, "_duplicate")
     ident, seconds, amount = number(ID), number(TIME), number(AMOUNT) if AMOUNT in df.columns else F.lit(None).cast("double")
     failures: list[tuple[Column, str]] = []
     if contract is not None:

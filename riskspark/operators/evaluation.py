@@ -20,6 +20,7 @@ PRECISION_FLOOR = 0.10
 LOGIT_EPSILON = 1e-6
 LOGIT_LIMIT = 40.0
 GRID = 101
+GRID_ROWS_PER_TASK = 5_000_000
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -159,12 +160,15 @@ def blend_fit(
     pairs = write_through(pairs, "score-pairs").withColumns({"_a": logit(F.col(first)), "_b": logit(F.col(second))})
     # The weight is step * position, the last one exactly 1, as a linear grid gives it.
     step = 1.0 / (grid - 1)
-    gridded = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid"))
+    n = pairs.count()
+    # Every pair turns into ``grid`` rows, so small files are spread before they grow.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n * grid // GRID_ROWS_PER_TASK))
+    gridded = pairs.repartition(tasks).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid"))
     weight = F.when(F.col("grid") == grid - 1, F.lit(1.0)).otherwise(F.col("grid") * F.lit(step))
     scored = gridded.withColumn("w", weight).select(
         "grid", "w", (F.col("w") * F.col("_a") + (1 - F.col("w")) * F.col("_b")).alias("score"), "positives", "negatives"
     )
-    if pairs.count() <= chunk_rows:
+    if n <= chunk_rows:
         # The default frame takes in ties, so equal scores share their totals.
         at_or_above = Window.partitionBy("grid").orderBy(F.desc("score"))
         curve = scored.select("*", F.sum("positives").over(at_or_above).alias("tp"), F.sum("negatives").over(at_or_above).alias("fp"))

@@ -80,7 +80,7 @@ class StreamJob:
         firsts = rows.groupBy(ID).agg(F.min(self.sequence).alias("_first"))
         marked = rows.join(firsts, ID, "left").withColumn("_copy", F.col(self.sequence) > F.col("_first")).drop("_first")
         # Copies are judged here, so that the first copy is still scored.
-        once = validate_rows(marked.where("not _copy").drop("_copy"), cutoff=cutoff)
+        once = validate_rows(marked.where("not _copy").drop("_copy"), cutoff=cutoff, unique=True)
         copies = marked.where("_copy").drop("_copy").withColumns(
             {"error_message": F.lit(DUPLICATE_TEXT), "error_code": F.lit(DUPLICATE_CODE)})
         return once.unionByName(copies)
@@ -91,8 +91,8 @@ class StreamJob:
         accepted = judged.where("error_code is null").drop("error_code", "error_message")
         refused = judged.where("error_code is not null")
         known = KnownState(state.keyed, state.pairs)
-        features = write_through(with_history(with_v2_row_features(accepted), self.specs, known=known), "stream-features")
-        self._write(features, "features", batch)
+        self._write(with_history(with_v2_row_features(accepted), self.specs, known=known), "features", batch)
+        features = self.spark.read.parquet(self._output("features", batch))
         decided = apply_threshold(self.scorer(features), self.thresholds)
         context = features.select(ID, self.sequence, F.col(AMOUNT).alias("amount"))
         predictions = decided.join(context, ID)
