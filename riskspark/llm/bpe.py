@@ -1,7 +1,6 @@
 """Byte-level BPE encoding and decoding in time linear in the text.
 
-Bytes are mapped to Latin-1 characters, so that pyahocorasick can find the longest token that starts at each place of a
-piece. A token sequence is what the merges give exactly when every two neighbours are compatible (their own bytes,
+Bytes are mapped to Latin-1 characters, so that pyahocorasick can find the longest token that starts at a place of a piece. A token sequence is what the merges give exactly when every two neighbours are compatible (their own bytes,
 merged alone, give the two tokens again). So the encoder takes the longest token, falls back to the next shorter prefix
 token where the neighbours don't fit, and steps back where none is left; a place once left that way is never
 entered again, which bounds the work by the text length. Compatibility is memoised per pair of tokens.
@@ -34,9 +33,12 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.sizes = [len(token) for token in self.tokens]
+        self.reach = max(self.sizes)
         self.pattern = regex.compile(pattern)
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._edges: dict[tuple[int, int], list[tuple[bytes, int]] | None] = {}
         self._shorter: dict[int, int] = {}
 
     @functools.cached_property
@@ -44,32 +46,82 @@ class Codec:
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():  # reversed: all matches that end at one place start at one place of the piece
-            found.add_word(token[::-1].decode("latin-1"), rank)
+        for token, rank in self._latin.items():
+            found.add_word(token, rank)
         found.make_automaton()
         return found
 
-    def merged(self, data: bytes) -> list[int]:
-        """The merges as defined: always the lowest rank first, leftmost among equals. For short data only."""
+    @functools.cached_property
+    def _latin(self) -> dict[str, int]:
+        return {token.decode("latin-1"): rank for token, rank in self.ranks.items()}
+
+    def merged(self, data: bytes, least: int = 1) -> list[bytes]:
+        """The merges as defined, until ``least`` parts are left: the lowest rank first, leftmost among equals. For single tokens."""
         parts = [data[i:i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(self.tokens)), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == len(self.tokens):
+        none = len(self.tokens)
+        while len(parts) > least:
+            ranks = [self.ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+            rank = min(ranks)
+            if rank == none:
                 break
+            at = ranks.index(rank)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def edge(self, token: int, side: int) -> list[tuple[bytes, int]] | None:
+        """What stands at one edge (0 left, 1 right) of the token while its merges run: (part, rank of the merge that ends it).
+
+        None if the merges of its own bytes don't give the token.
+        """
+        key = (token, side)
+        if key not in self._edges:
+            data, found = self.tokens[token], []
+            until = len(self.tokens)
+            while len(data) > 1:
+                found.append((data, until))
+                halves, until = self.merged(data, 2), self.ranks[data]
+                if len(halves) != 2:
+                    found = None
+                    break
+                data = halves[side]
+            self._edges[key] = None if found is None else [(data, until), *reversed(found)]
+        return self._edges[key]
 
     def fits(self, left: int, right: int) -> bool:
-        """Whether the two tokens may stand side by side; left -1 stands for the start of the piece."""
+        """Whether the merges leave two neighbours apart; left -1 stands for the start of the piece.
+
+        Both sides' merges run in rank order; the two parts at the boundary must never have a merge of their own that comes
+        before the one that ends either (of equal ranks the leftmost goes first).
+        """
         key = (left, right)
         known = self._fits.get(key)
         if known is None:
             if len(self._fits) >= MEMO_ENTRIES:
                 self._fits.clear()
-            pair = [right] if left < 0 else [left, right]
-            known = self._fits[key] = self.merged(b"".join(self.tokens[t] for t in pair)) == pair
+            known = self._fits[key] = self._compatible(left, right)
         return known
 
+    def _compatible(self, left: int, right: int) -> bool:
+        y = self.edge(right, 0)
+        if left < 0 or y is None:
+            return y is not None
+        x = self.edge(left, 1)
+        if x is None:
+            return False
+        i = j = 0
+        none = len(self.tokens)
+        while True:
+            (a, a_ends), (b, b_ends) = x[i], y[j]
+            rank = self.ranks.get(a + b, none)
+            if rank < a_ends and rank <= b_ends and rank < none:
+                return False
+            if a_ends == b_ends == none:
+                return True
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+
     def shorter(self, token: int) -> int:
         """The longest token that is a proper prefix, or -1."""
         known = self._shorter.get(token)
@@ -79,31 +131,40 @@ class Codec:
             self._shorter[token] = known
         return known
 
-    def encode_piece(self, data: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(data)
+    def longest(self, piece: str) -> int:
+        """The longest token that the piece (Latin-1) starts with; every single byte is one."""
+        length = self._automaton.longest_prefix(piece)
+        ranks = self._latin
+        while (token := ranks.get(piece[:length])) is None:
+            length -= 1
+        return token
+
+    def encode_piece(self, piece: str) -> tuple[int, ...]:
+        latin = piece if piece.isascii() else piece.encode().decode("latin-1")
+        whole = self._latin.get(latin)
         if whole is not None:
             return (whole,)
-        n, tokens = len(data), self.tokens
-        longest = [-1] * n
-        for end, rank in self._automaton.iter(data[::-1].decode("latin-1")):
-            at = n - 1 - end
-            if longest[at] < 0 or len(tokens[rank]) > len(tokens[longest[at]]):
-                longest[at] = rank
+        n, sizes, reach, known, fits = len(latin), self.sizes, self.reach, self._fits, self.fits
         out: list[int] = []
-        left_behind = bytearray(n + 1)
-        at, token = 0, longest[0]
+        left_behind: set[int] = set()
+        at, last, token = 0, -1, self.longest(latin[:reach])
         while at < n:
-            last = out[-1] if out else -1
-            while token >= 0 and (left_behind[at + len(tokens[token])] or not self.fits(last, token)):
+            while token >= 0:
+                if at + sizes[token] not in left_behind:
+                    fit = known.get((last, token))
+                    if fits(last, token) if fit is None else fit:
+                        break
                 token = self.shorter(token)
             if token >= 0:
                 out.append(token)
-                at += len(tokens[token])
-                token = longest[at] if at < n else -1
+                at += sizes[token]
+                last = token
+                token = self.longest(latin[at:at + reach]) if at < n else -1
             else:
-                left_behind[at] = 1
+                left_behind.add(at)
                 token = out.pop()
-                at -= len(tokens[token])
+                at -= sizes[token]
+                last = out[-1] if out else -1
                 token = self.shorter(token)
         return tuple(out)
 
@@ -112,7 +173,7 @@ class Codec:
         for piece in self.pattern.findall(text):
             found = self._pieces.get(piece)
             if found is None:
-                found = self.encode_piece(piece.encode())
+                found = self.encode_piece(piece)
                 if len(piece) <= MEMO_CHARS:
                     if len(self._pieces) >= MEMO_ENTRIES:
                         self._pieces.clear()
