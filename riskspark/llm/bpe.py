@@ -12,15 +12,20 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from riskspark.llm.common import id_text, per_text
+from riskspark.llm.common import SLICE, id_text
 
 #: Entries that a task's memo tables hold before they start afresh; the results don't depend on them.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 MEMO_CHARS = 48
 
 
@@ -36,8 +41,8 @@ class Codec:
         self.sizes = [len(token) for token in self.tokens]
         self.reach = max(self.sizes)
         self.pattern = regex.compile(pattern)
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._pieces = _Memo(self.encode_piece)
+        self._fits: dict[int, bool] = {}
         self._edges: dict[tuple[int, int], list[tuple[bytes, int]] | None] = {}
         self._shorter: dict[int, int] = {}
 
@@ -93,7 +98,7 @@ class Codec:
         Both sides' merges run in rank order; the two parts at the boundary must never have a merge of their own that comes
         before the one that ends either (of equal ranks the leftmost goes first).
         """
-        key = (left, right)
+        key = left << 20 | right  # below 2**20 tokens; the start of the piece gives negative keys
         known = self._fits.get(key)
         if known is None:
             if len(self._fits) >= MEMO_ENTRIES:
@@ -131,35 +136,45 @@ class Codec:
             self._shorter[token] = known
         return known
 
-    def longest(self, piece: str) -> int:
-        """The longest token that the piece (Latin-1) starts with; every single byte is one."""
-        length = self._automaton.longest_prefix(piece)
-        ranks = self._latin
-        while (token := ranks.get(piece[:length])) is None:
-            length -= 1
-        return token
+    @functools.cached_property
+    def _starts(self) -> dict[str, int]:
+        """For every beginning of a token the longest token that it starts with; every single byte is one."""
+        found: dict[str, int] = {}
+        for token in sorted(self._latin, key=len):
+            for n in range(len(token), 0, -1):
+                if token[:n] in found:
+                    break
+            longest = found[token[:n]] if token[:n] in found else self._latin[token[:1]]
+            for k in range(n + 1, len(token)):
+                found[token[:k]] = longest
+            found[token] = self._latin[token]
+        return found
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         latin = piece if piece.isascii() else piece.encode().decode("latin-1")
         whole = self._latin.get(latin)
         if whole is not None:
             return (whole,)
-        n, sizes, reach, known, fits = len(latin), self.sizes, self.reach, self._fits, self.fits
+        n, sizes, reach, starts, longest_prefix = len(latin), self.sizes, self.reach, self._starts, self._automaton.longest_prefix
+        known, fits = self._fits, self.fits
         out: list[int] = []
         left_behind: set[int] = set()
-        at, last, token = 0, -1, self.longest(latin[:reach])
+        at, last, token = 0, -1, starts[latin[: longest_prefix(latin[:reach])]]
         while at < n:
             while token >= 0:
-                if at + sizes[token] not in left_behind:
-                    fit = known.get((last, token))
+                if not left_behind or at + sizes[token] not in left_behind:
+                    fit = known.get(last << 20 | token)
                     if fits(last, token) if fit is None else fit:
                         break
                 token = self.shorter(token)
             if token >= 0:
                 out.append(token)
                 at += sizes[token]
+                if at == n:
+                    break
                 last = token
-                token = self.longest(latin[at:at + reach]) if at < n else -1
+                rest = latin[at:at + reach]
+                token = starts[rest[: longest_prefix(rest)]]
             else:
                 left_behind.add(at)
                 token = out.pop()
@@ -168,21 +183,42 @@ class Codec:
                 token = self.shorter(token)
         return tuple(out)
 
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
+        return b"".join(map(self._pieces.__getitem__, self.pattern.findall(text)))
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.pattern.findall(text):
-            found = self._pieces.get(piece)
-            if found is None:
-                found = self.encode_piece(piece)
-                if len(piece) <= MEMO_CHARS:
-                    if len(self._pieces) >= MEMO_ENTRIES:
-                        self._pieces.clear()
-                    self._pieces[piece] = found
-            ids += found
-        return ids
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
+
+    @functools.cached_property
+    def _flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array(self.sizes, np.int64)
+        return np.frombuffer(b"".join(self.tokens), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The bytes of an array of ids: every output place looks its byte up in the tokens laid end to end."""
+        flat, starts, sizes = self._flat
+        lengths = sizes[ids]
+        ahead = np.cumsum(lengths) - lengths
+        return flat[np.arange(lengths.sum()) + np.repeat(starts[ids] - ahead, lengths)].tobytes()
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decoded(np.asarray(ids, np.int64))
+
+
+class _Memo(dict):
+    """Encoded pieces; a missing one is computed."""
+
+    def __init__(self, encode_piece):
+        self.encode_piece = encode_piece
+
+    def __missing__(self, piece: str) -> bytes:
+        found = array("i", self.encode_piece(piece)).tobytes()
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[piece] = found
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -192,21 +228,36 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each whole text; special tokens' strings are ordinary text."""
+    narrow = id_text(df, id_col, text_col)
+    out = StructType([narrow.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))])
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        return lambda text: (coder.encode(text),)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = [coder.encoded(t) for t in part.column(1).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
-    return per_text(id_text(df, id_col, text_col), make, "ids array<int>")
+    return narrow.mapInArrow(run, out)
 
 
 def decode(df: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, *keep, data): the bytes that ``ids`` stand for; null ids count as none."""
     names = ["doc_id", *(keep or [])]
-    packed = df.select(F.struct(*names).alias("_row"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    packed = df.select(*names, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    out = StructType([packed.schema[n] for n in names] + [StructField("data", BinaryType())])
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        return lambda ids: (coder.decode(ids),)
-
-    return per_text(packed, make, "data binary").select("_row.*", "data")
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                lists = part.column(len(names))
+                offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+                data = pa.array([coder.decoded(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], data], names=[*names, "data"])
+
+    return packed.mapInArrow(run, out)
