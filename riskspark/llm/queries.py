@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, chat, langid, licenses, secrets, simhash, toxicity
+from riskspark.llm import bpe, chat, itq, langid, licenses, secrets, simhash, toxicity
 from riskspark.llm.common import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,30 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+_COSINE = """
+good as (
+    select vec_id, embedding::double[] as v from embeddings
+    where len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0
+),
+unit as (select vec_id, [x / sqrt(list_dot_product(v, v)) for x in v] as v from good),
+links as (
+    select a.vec_id as a, b.vec_id as b from unit a join unit b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+        and list_dot_product(a.v, b.v) >= 0.9
+)"""
+
+ORACLES["op3_itq"] = f"""
+with recursive {_COSINE},
+reach as (select vec_id as a, vec_id as b from embeddings union select reach.a, links.b from reach join links on reach.b = links.a),
+roots as (select a, min(b) as component_id from reach group by a),
+counts as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(c.n, 0)::bigint as n_links, r.component_id, e.vec_id = r.component_id as kept
+from embeddings e join roots r on e.vec_id = r.a left join counts c on e.vec_id = c.a
+"""
