@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from riskspark.llm.common import SLICE, id_text
+from riskspark.llm.common import id_text, slices
 
 #: Entries that a task's memo tables hold before they start afresh; the results don't depend on them.
 MEMO_ENTRIES = 500_000
@@ -233,13 +233,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = [coder.encoded(t) for t in part.column(1).to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+        for part in slices(batches):
+            found = [coder.encoded(t) for t in part.column(1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     return narrow.mapInArrow(run, out)
 
@@ -252,12 +250,10 @@ def decode(df: DataFrame, path: str, pattern: str, keep: list[str] | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                lists = part.column(len(names))
-                offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-                data = pa.array([coder.decoded(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], data], names=[*names, "data"])
+        for part in slices(batches):
+            lists = part.column(len(names))
+            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            data = pa.array([coder.decoded(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], data], names=[*names, "data"])
 
     return packed.mapInArrow(run, out)

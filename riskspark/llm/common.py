@@ -26,24 +26,25 @@ def per_text(df: DataFrame, make: Callable[[], Callable[[Any], tuple]], columns:
     ``make`` runs once a task and gives the function from the second column's value to the tuple of ``columns``.
     Needs no shuffle; a lost task is simply run again.
     """
-    out = StructType([StructField(df.columns[0], df.schema[0].dataType)] + _struct(columns).fields)
+    out = StructType([StructField(df.columns[0], df.schema[0].dataType)] + StructType.fromDDL(columns).fields)
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = list(zip(*[function(x) for x in part.column(1).to_pylist()]))
-                arrays = [part.column(0).cast(arrow.field(0).type)]
-                arrays += [pa.array(v, type=f.type) for v, f in zip(found, list(arrow)[1:])]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for part in slices(batches):
+            found = list(zip(*[function(x) for x in part.column(1).to_pylist()]))
+            arrays = [part.column(0).cast(arrow.field(0).type)]
+            arrays += [pa.array(v, type=f.type) for v, f in zip(found, list(arrow)[1:])]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, out)
 
 
-def _struct(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import SLICE, held_out, id_text, per_text
+from riskspark.llm.common import held_out, id_text, slices
 from riskspark.session import write_through
 
 UNKNOWN = "und"
@@ -190,13 +190,11 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = model.parser()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                found = parser.identify(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
-                )
+        for part in slices(batches):
+            found = parser.identify(part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                names=["doc_id", "lang_pred", "score"],
+            )
 
     return narrow.mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")

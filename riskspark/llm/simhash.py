@@ -21,9 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from riskspark.llm import blocks
-from riskspark.llm.common import id_text, per_text
+from riskspark.llm.common import id_text, per_text, slices
 from riskspark.llm.components import components
 from riskspark.session import write_through
 
@@ -124,10 +125,32 @@ def near_duplicates(
     return prints.join(classes(prints, distance, cap), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, cap: int = blocks.CAP) -> DataFrame:
+    """One row of each class, with all its columns: the row with the smallest id (of several, the one with the smallest fingerprint).
+
+    Rows are written once with their fingerprint, so texts are read and moved once for the decision and once for the result.
+    """
+    fp = "_fp"
+    while fp in df.columns:
+        fp += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            prints = pa.array([fingerprint(t or "", shingle) for t in part.column(text_col).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, prints], names=[*part.schema.names, fp])
+
+    rows = write_through(df.mapInArrow(run, StructType(df.schema.fields + [StructField(fp, LongType())])), "fingerprinted")
+    prints = rows.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"))
+    least = prints.join(classes(prints, distance, cap), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = least.groupBy("root").agg(F.min("fp").alias("_kept_fp"), F.first("component_id").alias("_kept_id"))
+    found = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows[fp] == kept["_kept_fp"]), "left_semi")
+    return found.dropDuplicates([id_col, fp]).drop(fp)
+
+
 def classes(prints: DataFrame, distance: int = DISTANCE, cap: int = blocks.CAP) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of a written table (doc_id, fp)."""
+    """(fp, root, component_id) for each distinct fingerprint of a written table (doc_id, fp); root tells classes apart."""
     nodes = write_through(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
     roots = components(links(nodes, distance, cap))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return nodes.join(ids, "root").select("fp", "component_id")
+    return nodes.join(ids, "root").select("fp", "root", "component_id")
