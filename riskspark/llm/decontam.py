@@ -10,7 +10,7 @@ Before the walk, windows are dropped that cannot be within the bound: k edits de
 words of an item, so a window needs L - k known words and L - 1 - 2 k known pairs. This drops no answer, at any size of input.
 
 Items come to the executors in blocks of ``ITEMS_AT_A_TIME``, one pass over the documents each; documents are never shuffled. Words
-are runs of letters and digits, lower-cased. Null and empty texts match nothing and empty items are never found; repeated rows
+are runs of ASCII letters, digits and non-ASCII characters, lower-cased. Null and empty texts match nothing and empty items are never found; repeated rows
 are searched one by one; an empty benchmark gives no rows. Texts are searched whole.
 """
 

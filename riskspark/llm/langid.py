@@ -141,7 +141,8 @@ class Parser:
             to = table[now * width + column]
             ended = to == 0
             again = table[start * width + column]  # a new phrase begins with this character, if the language has it
-            found[:, :open_] += ended + (ended & (again == 0) & (now != start))  # a phrase ends; an unknown character is one itself
+            found[:, :open_] += ended
+            found[:, :open_] += ended & (again == 0) & (now != start)  # besides the phrase that ends, an unknown character is one itself
             state[:, :open_] = np.where(ended, np.where(again == 0, start, again), to)
         found += state != start  # the phrase that the segment's end cuts off
         return np.stack([np.bincount(owner, row, len(texts)) for row in found], 1)
