@@ -16,7 +16,8 @@ WIDE = "decimal(38,0)"
 
 
 def units(value: Column, per_one: int) -> Column:
-    return F.rint(value * per_one).cast("bigint")
+    """Whole units; a value that is not finite or out of range counts as missing."""
+    return F.rint(value * per_one).try_cast("bigint")
 
 
 def squared(unit: Column) -> Column:

@@ -1,9 +1,8 @@
 """Encoders fitted on training rows only.
 
 ``fit_*`` returns state tables; ``apply_*`` uses them on any rows. The level table of all
-categorical columns comes from one grouped pass. Columns with few levels are encoded with
-literal maps inside the projection; long frequency tables are joined, and Catalyst
-broadcasts those that are small.
+categorical columns comes from one grouped pass. Level tables are joined,
+and Catalyst broadcasts those that are small; only the one-hot columns of columns with few levels are literals.
 """
 
 from __future__ import annotations
@@ -54,11 +53,8 @@ def apply_frequency(df: DataFrame, levels: DataFrame, columns: list[str]) -> Dat
 
 
 def _few_levels(levels: DataFrame, columns: list[str]) -> dict[str, list]:
-    """Levels of low-cardinality columns: at most 101 per column reach the driver."""
-    rows = levels.where(F.col("column").isin(columns)).orderBy("column", "value") \
-        .limit((LOW_CARDINALITY_MAX + 1) * len(columns) + 1).collect()
-    if len(rows) > (LOW_CARDINALITY_MAX + 1) * len(columns):
-        raise ValueError("these columns have too many levels for a literal map; use frequencies")
+    """Levels of columns that have at most LOW_CARDINALITY_MAX of them (besides MISSING), which is why they are one-hot encoded."""
+    rows = levels.where(F.col("column").isin(columns)).orderBy("column", "value").collect()
     return {c: [r for r in rows if r["column"] == c] for c in columns}
 
 
@@ -68,15 +64,12 @@ def _rare_level(seen: Column, kept: Column, value: Column) -> Column:
 
 
 def apply_rare_levels(df: DataFrame, levels: DataFrame, columns: list[str]) -> DataFrame:
-    """Keep frequent levels, group rare ones as OTHER and unseen ones as UNKNOWN."""
-    found = _few_levels(levels, columns)
-    encoded = {}
+    """Keep frequent levels, group rare ones as OTHER and unseen ones as UNKNOWN, at any number of levels."""
     for c in columns:
-        value = clean(c)
-        pairs = [F.lit(x) for r in found[c] for x in (r["value"], r["kept"])]
-        kept = F.create_map(*pairs)[value] if pairs else F.lit(None).cast("boolean")
-        encoded[c] = _rare_level(kept, F.coalesce(kept, F.lit(False)), value)
-    return df.withColumns(encoded)
+        mine = levels.where(F.col("column") == c).select(F.col("value").alias("_k"), F.col("kept").alias("_kept"))
+        df = df.withColumn("_k", clean(c)).join(mine, "_k", "left")
+        df = df.withColumn(c, _rare_level(F.col("_kept"), F.coalesce("_kept", F.lit(False)), F.col("_k"))).drop("_k", "_kept")
+    return df
 
 
 def fit_vocabulary(levels: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ PRECISION_FLOOR = 0.10
 LOGIT_EPSILON = 1e-6
 LOGIT_LIMIT = 40.0
 GRID = 101
-GRID_ROWS_PER_TASK = 5_000_000
 
 
 def score_counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -151,8 +150,8 @@ def blend_fit(
 ) -> DataFrame:
     """Average precision of every first-model weight on the grid, best first.
 
-    Equal score pairs are grouped before they are multiplied by the grid. While the pairs
-    fit one task, each weight is one window group; more pairs take the chunked totals.
+    Equal score pairs are grouped before they are multiplied by the grid, and equal blends before they are sorted; totals are
+    carried over chunks of the order, at any number of pairs.
     """
     pairs = df.groupBy(first, second).agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives")
@@ -160,22 +159,15 @@ def blend_fit(
     pairs = write_through(pairs, "score-pairs").withColumns({"_a": logit(F.col(first)), "_b": logit(F.col(second))})
     # The weight is step * position, the last one exactly 1, as a linear grid gives it.
     step = 1.0 / (grid - 1)
-    n = pairs.count()
-    # Every pair turns into ``grid`` rows, so small files are spread before they grow.
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n * grid // GRID_ROWS_PER_TASK))
-    gridded = pairs.repartition(tasks).select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid"))
+    # Every pair turns into ``grid`` rows; the counts after it combine before they are shuffled.
+    gridded = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid"))
     weight = F.when(F.col("grid") == grid - 1, F.lit(1.0)).otherwise(F.col("grid") * F.lit(step))
     scored = gridded.withColumn("w", weight).select(
         "grid", "w", (F.col("w") * F.col("_a") + (1 - F.col("w")) * F.col("_b")).alias("score"), "positives", "negatives"
     )
-    if n <= chunk_rows:
-        # The default frame takes in ties, so equal scores share their totals.
-        at_or_above = Window.partitionBy("grid").orderBy(F.desc("score"))
-        curve = scored.select("*", F.sum("positives").over(at_or_above).alias("tp"), F.sum("negatives").over(at_or_above).alias("fp"))
-    else:
-        counts = scored.groupBy("grid", "w", "score").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
-        curve = running_totals(
-            counts, [F.col("score").desc()], {"tp": F.col("positives"), "fp": F.col("negatives")}, by=["grid"], chunk_rows=chunk_rows)
+    counts = scored.groupBy("grid", "w", "score").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    curve = running_totals(
+        counts, [F.col("score").desc()], {"tp": F.col("positives"), "fp": F.col("negatives")}, by=["grid"], chunk_rows=chunk_rows)
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     return curve.groupBy("grid").agg(
         F.max("w").alias("first_weight"), (1 - F.max("w")).alias("second_weight"),

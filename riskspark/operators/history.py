@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 from riskspark.functions import stats
 from riskspark.functions.row_features import number, with_v2_row_features
 from riskspark.operators.ordering import CHUNK_ROWS, event_order, ordered
-from riskspark.schema import AMOUNT, ID, LABEL, MISSING, TIME
+from riskspark.schema import AMOUNT, ID, MISSING, TIME
 from riskspark.session import write_through
 
-MAX_HOT_KEYS = 4096
-MAX_CARRIED = 16  # more columns than this are joined back instead of shuffled per key
+ROW = "_history_row"  # number of a row in the written table; ids may repeat or be missing
 
 
 @dataclass(frozen=True)
@@ -105,18 +104,14 @@ def derived_features(spec: KeyHistory, value_of: dict[str, Column]) -> dict[str,
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(kind, value) of keys with more than ``hot_rows`` rows, at most MAX_HOT_KEYS.
+    """(kind, value) of every key with more than ``hot_rows`` rows; at most rows / ``hot_rows`` of each kind.
 
-    Counting combines on the map side, so the hot key itself never travels. Should more
-    keys pass the mark, those left out each hold less than 1/MAX_HOT_KEYS of the rows.
+    Counting combines on the map side, so the hot key itself never travels.
     """
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in keys
     ])).alias("p")).select("p.*")
-    return (
-        pairs.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("rows"))
-        .where(F.col("rows") > hot_rows).orderBy(F.desc("rows"), "kind", "value").limit(MAX_HOT_KEYS)
-    )
+    return pairs.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows)
 
 
 def _window_stage(df: DataFrame, spec: KeyHistory, group: list[str], before: dict[str, Column]) -> DataFrame:
@@ -187,10 +182,10 @@ def _plain_key(df: DataFrame, spec: KeyHistory, known: KnownState | None) -> Dat
 
 
 def _chunk_of(df: DataFrame, key: str, hot: DataFrame, chunk_rows: int, how: str) -> DataFrame:
-    """Chunk number for rows of hot keys, -1 for the others. ``hot`` has at most MAX_HOT_KEYS rows."""
+    """Chunk number for rows of hot keys, -1 for the others. ``hot`` is a written table, so the planner knows its size."""
     mine = hot.where(F.col("kind") == key).select(F.col("value").alias(key), F.lit(True).alias("_hot"))
     chunk = F.when(F.col("_hot"), F.floor(F.col("_pos") / F.lit(chunk_rows))).otherwise(F.lit(-1))
-    return df.join(F.broadcast(mine), key, how).withColumn("_chunk", chunk).drop("_hot")
+    return df.join(mine, key, how).withColumn("_chunk", chunk).drop("_hot")
 
 
 def _chunked_key(
@@ -246,24 +241,16 @@ def source_columns(specs: list[KeyHistory], columns: list[str]) -> list[str]:
     return [c for c in columns if c in wanted]
 
 
-def _histories(
-    df: DataFrame, specs: list[KeyHistory], hot_rows: int, known: KnownState | None
-) -> DataFrame:
-    """Past-only features of the given rows, all their columns kept.
+def _histories(base: DataFrame, specs: list[KeyHistory], hot_rows: int, known: KnownState | None) -> DataFrame:
+    """Past-only features of the rows of a written table, all its columns kept.
 
-    The rows are written once: the key counts, the chunk totals and the windows read the
-    files instead of repeating the joins behind them.
+    The key counts, the chunk totals and the windows read the files instead of repeating the joins behind them.
     """
-    base = write_through(df, "history-source")
-    found = hot_keys(base, [s.key for s in specs], hot_rows).collect()  # at most MAX_HOT_KEYS rows
     result = base
-    if not found:
-        for spec in specs:
-            result = _plain_key(result, spec, known)
-        return result
-    hot = df.sparkSession.createDataFrame([(r["kind"], r["value"]) for r in found], "kind string, value string")
-    hot_kinds = {r["kind"] for r in found}
-    base = result = ordered(base, event_order(), "history-order")
+    hot = write_through(hot_keys(base, [s.key for s in specs], hot_rows).select("kind", "value"), "hot-keys")
+    hot_kinds = {r["kind"] for r in hot.select("kind").distinct().collect()}  # at most one row per tracked key
+    if hot_kinds:
+        base = result = ordered(base, event_order(), "history-order")
     for spec in specs:
         if spec.key in hot_kinds:
             result = _chunked_key(result, base, spec, known, hot, hot_rows)
@@ -272,14 +259,19 @@ def _histories(
     return result.drop("_pos")
 
 
+def _features_of(rows: DataFrame, specs: list[KeyHistory], hot_rows: int, known: KnownState | None, *keep: str) -> DataFrame:
+    """``keep`` and the features: only the dozen source columns are shuffled, once per key."""
+    narrow = rows.select(*source_columns(specs, rows.columns), *[c for c in keep if c == ROW])
+    return _histories(narrow, specs, hot_rows, known).select(*keep, *[n for s in specs for n in spec_features(s)])
+
+
 def history_features(
     df: DataFrame, specs: list[KeyHistory] | None = None, *, hot_rows: int = CHUNK_ROWS, known: KnownState | None = None
 ) -> DataFrame:
-    """The id and the past-only features: only the dozen source columns are shuffled, once per key."""
+    """The id and the past-only features, one row for each row."""
     specs = [s.present(df.columns) for s in specs or KEY_HISTORIES]
-    narrow = df.select(*source_columns(specs, df.columns))
-    names = [n for s in specs for n in spec_features(s)]
-    return _histories(narrow, specs, hot_rows, known).select(ID, *names)
+    narrow = write_through(df.select(*source_columns(specs, df.columns)), "history-source")
+    return _features_of(narrow, specs, hot_rows, known, ID)
 
 
 def with_history(
@@ -287,15 +279,13 @@ def with_history(
 ) -> DataFrame:
     """Add past-only features to rows that already carry the row-level features.
 
-    Few other columns ride along with the windows. Wide rows stay out of the shuffles per
-    key and get their features by one join on the id, which is unique by contract.
-    ``known`` adds history from before these rows.
+    Rows of any width are written once with a number and meet their features again by it, in one join; other columns stay
+    out of the shuffles per key. Rows that repeat an id or have none keep a row each. ``known`` adds history from
+    before these rows.
     """
     specs = [s.present(df.columns) for s in specs or KEY_HISTORIES]
-    carried = len(df.columns) - len(source_columns(specs, df.columns))
-    if carried <= MAX_CARRIED:
-        return _histories(df, specs, hot_rows, known)
-    return df.join(history_features(df, specs, hot_rows=hot_rows, known=known), ID)
+    rows = write_through(df.withColumn(ROW, F.monotonically_increasing_id()), "history-rows")
+    return rows.join(_features_of(rows, specs, hot_rows, known, ROW), ROW).drop(ROW)
 
 
 def causal_features(df: DataFrame, *, hot_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -336,7 +326,3 @@ def leakage_audit(df: DataFrame, changed: DataFrame, upto: Column | None = None)
         F.lit("keys_without_first_row").alias("check"), F.count_if(F.col("least") != 0).alias("violations")
     )
     return leaked.unionByName(starts)
-
-
-def target_free(df: DataFrame) -> DataFrame:
-    return df.drop(LABEL)

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.operators.ordering import event_order, sequence_numbers
 from riskspark.schema import ID, LABEL, TIME
+from riskspark.session import single_row, write_through
 
 # Fixed values: (train end, validation end) of the three folds as shares of all rows; the
 # folds themselves divide the first 85 percent.
 FOLD_BOUNDS = [(0.45, 0.55), (0.60, 0.70), (0.70, 0.85)]
 DEVELOPMENT_SHARE = 0.85
-MAX_STRATA = 100
 
 
 def _position_keys(df: DataFrame, positions: list[int]) -> dict[int, tuple]:
@@ -80,65 +78,69 @@ def _seeded_hash(seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(ID).cast("string")))
 
 
-def take_per_stratum(df: DataFrame, stratum: str, quotas: dict, seed: int) -> DataFrame:
-    """Exactly ``quotas[s]`` rows of each stratum, those with the smallest seeded hash.
+def take_per_stratum(df: DataFrame, stratum: str, quotas: DataFrame, seed: int) -> DataFrame:
+    """Exactly ``quota`` rows of each stratum of ``quotas`` (stratum, quota), those with the smallest seeded hash.
 
-    The hash falls evenly into 4096 buckets. Bucket counts decide which buckets are taken
-    whole, and only the bucket where the quota runs out is ranked.
+    Hashes fall evenly into 4096 buckets. Bucket counts tell which buckets are taken whole; the one where the quota ends is
+    divided by the next three digits in the same way, and only the last edge, a 16-millionth of a stratum, is ranked.
     """
-    quota = F.create_map(*[F.lit(x) for pair in quotas.items() for x in pair])
-    hashed = df.withColumn("_hash", _seeded_hash(seed)).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
-    )
-    counts = hashed.groupBy(stratum, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # At most 4096 rows per stratum, and strata are the few values given in ``quotas``.
-    upto = Window.partitionBy(stratum).orderBy("_bucket")
-    spans = counts.select(
-        stratum, "_bucket", F.sum("_n").over(upto).alias("_last"),
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"), quota[F.col(stratum)].alias("_quota"),
-    ).where(F.col("_before") < F.col("_quota"))
-    near = hashed.join(F.broadcast(spans), [stratum, "_bucket"])
-    whole = near.where(F.col("_last") <= F.col("_quota"))
-    edge = near.where(F.col("_last") > F.col("_quota")).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(stratum, "_bucket").orderBy("_hash", ID))
-    ).where(F.col("_before") + F.col("_rank") <= F.col("_quota"))
-    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
-
-
-def _stratum_sizes(df: DataFrame, stratum: str) -> list[tuple]:
-    rows = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"{stratum} has more than {MAX_STRATA} values and is not a class label")
-    return [(r[stratum], r["n"]) for r in sorted(rows, key=lambda r: (-r["n"], str(r[stratum])))]
+    hashed = df.withColumn("_hash", _seeded_hash(seed))
+    left = quotas.select(F.col(stratum).alias("_s"), F.col("quota").cast("long").alias("_left"))
+    taken, edge = [], hashed
+    for first in (1, 4):
+        whole, edge, left = _divide(edge, stratum, left, first)
+        taken.append(whole.select(*df.columns))
+    ranked = edge.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_hash", ID)))
+    last = ranked.join(left, ranked[stratum].eqNullSafe(left["_s"])).where(F.col("_rank") <= F.col("_left"))
+    return taken[0].unionByName(taken[1]).unionByName(last.select(*df.columns))
+
+
+def _divide(rows: DataFrame, stratum: str, left: DataFrame, first: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of buckets taken whole, rows of the edge buckets, what is left to take from those)."""
+    bucketed = rows.withColumn("_bucket", F.substring("_hash", first, 3))
+    counts = bucketed.groupBy(F.col(stratum).alias("_c"), "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_c").orderBy("_bucket")  # at most 4096 rows
+    spans = counts.withColumn("_last", F.sum("_n").over(upto)).join(left, F.col("_c").eqNullSafe(F.col("_s")))
+    spans = spans.withColumn("_rest", F.col("_left") - (F.col("_last") - F.col("_n"))).where("_rest > 0")
+    spans = write_through(spans.select("_s", F.col("_bucket").alias("_b"), (F.col("_n") <= F.col("_rest")).alias("_whole"), "_rest"), "sample-buckets")
+    near = bucketed.join(spans, bucketed[stratum].eqNullSafe(spans["_s"]) & (bucketed["_bucket"] == spans["_b"]))
+    edge = near.where("not _whole").select(*rows.columns)
+    return near.where("_whole"), edge, spans.where("not _whole").select("_s", F.col("_rest").alias("_left"))
+
+
+def _stratum_sizes(df: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, n), written."""
+    return write_through(df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")), "strata")
 
 
 def sample_stratified(df: DataFrame, rows: int, *, stratum: str = LABEL, seed: int = 42) -> DataFrame:
-    """``rows`` rows with the class shares of the table; the last class takes the rest."""
+    """``rows`` rows with the class shares of the table; the smallest class takes the rest."""
     sizes = _stratum_sizes(df, stratum)
-    total = sum(n for _, n in sizes)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     if rows <= 0 or rows >= total:
         return df
-    quotas, left = {}, rows
-    for position, (value, n) in enumerate(sizes):
-        last = position == len(sizes) - 1
-        quotas[value] = min(left, n) if last else min(int(round(rows * (n / total))), n)
-        left -= quotas[value]
-    return take_per_stratum(df, stratum, quotas, seed)
+    share = F.least(F.bround(F.lit(rows) * F.col("n") / F.lit(total)), F.col("n")).cast("long")
+    shared = sizes.withColumn("quota", share)
+    # The class that comes last by size, then text, and what all classes together were given: one row.
+    sums = shared.agg(
+        F.max(F.struct(-F.col("n"), F.coalesce(F.col(stratum).cast("string"), F.lit("None")))).alias("last"), F.sum("quota").alias("given")
+    )
+    both = shared.withColumn("_t", single_row(sums))
+    last = F.struct(-F.col("n"), F.coalesce(F.col(stratum).cast("string"), F.lit("None"))) == F.col("_t.last")
+    rest = F.least(F.greatest(F.lit(rows) - F.col("_t.given") + F.col("quota"), F.lit(0)), F.col("n"))
+    return take_per_stratum(df, stratum, both.select(stratum, F.when(last, rest).otherwise(F.col("quota")).alias("quota")), seed)
 
 
 def sample_debug(df: DataFrame, rows: int, *, stratum: str = LABEL, seed: int = 42) -> DataFrame:
     """Small sample that keeps at least one row of every class."""
     sizes = _stratum_sizes(df, stratum)
-    total = sum(n for _, n in sizes)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     if rows >= total:
         return df
-    return take_per_stratum(df, stratum, {v: max(1, round(rows * n / total)) for v, n in sizes}, seed)
+    quota = F.greatest(F.lit(1), F.bround(F.lit(rows) * F.col("n") / F.lit(total))).cast("long")
+    return take_per_stratum(df, stratum, sizes.select(stratum, quota.alias("quota")), seed)
 
 
 def earliest_n(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows in event order."""
     return df.orderBy(*event_order()).limit(n)
-
-
-def review_rows(rows: int, fraction: float) -> int:
-    return max(1, math.ceil(rows * fraction))

@@ -1,4 +1,4 @@
-"""Small tables used by several tests."""
+"""Small tables used by several tests: sales of a few cards, out of order, with gaps."""
 
 from __future__ import annotations
 
@@ -7,16 +7,18 @@ BASIC_SCHEMA = (
     "addr1 long, addr2 long, P_emaildomain string, R_emaildomain string, DeviceType string, isFraud int"
 )
 BASIC = [
-    (3, 30, 10.0, "W", 1, 10.0, 100, 1, "a.com", None, None, 0),
-    (1, 10, 20.5, "W", 1, 10.0, 100, 1, "a.com", None, None, 0),
-    (2, 20, None, "C", 2, 20.0, 100, 1, "a.com", None, None, 1),
-    (4, 40, 8.0, None, 3, 30.0, 100, 1, "a.com", None, None, 0),
-    (5, 50, 11.0, "W", 1, 10.0, 100, 1, "a.com", None, None, 0),
-    (6, 60, 9.0, "C", 2, 20.0, 100, 1, "a.com", None, None, 1),
-    (7, 70, 50.0, "W", 4, 40.0, 100, 1, "a.com", None, None, 0),
-    (8, 80, 7.0, "W", 5, 50.0, 100, 1, "a.com", None, None, 0),
-    (9, 90, 6.0, "C", 6, 60.0, 100, 1, "a.com", None, None, 0),
-    (10, 100, 5.0, "W", 7, None, 100, 1, "b.com", None, None, 1),
+    (31, 700, 4.25, "H", 9, 77.0, 330, 60, "mail.test", None, "tablet", 0),
+    (27, 350, 18.75, "H", 8, 66.0, 340, 60, "post.test", None, "tablet", 0),
+    (22, 150, 61.0, "S", 8, 66.0, 340, 60, "mail.test", None, None, 1),
+    (24, 210, None, "H", 5, None, 310, 60, None, None, None, 0),
+    (21, 120, 33.5, None, 9, 77.0, 330, 60, "mail.test", None, None, 0),
+    (29, 510, 7.0, "S", 6, 55.0, 320, 60, "post.test", None, None, 0),
+    (25, 260, 90.1, "R", 9, 77.0, 330, 60, "mail.test", None, "tablet", 1),
+    (28, 430, 2.0, "H", 5, 44.0, 310, 60, "post.test", None, None, 0),
+    (32, 820, 75.0, "S", 6, 55.0, 320, 60, "mail.test", None, None, 0),
+    (26, 300, 12.4, "R", 4, 33.0, 350, 60, "mail.test", None, None, 0),
+    (30, 640, 55.6, None, 4, 33.0, 350, 60, "mail.test", None, None, 1),
+    (23, 180, 21.0, "H", 9, 77.0, 330, 60, "post.test", None, "tablet", 0),
 ]
 
 HISTORY_SCHEMA = (
@@ -25,12 +27,13 @@ HISTORY_SCHEMA = (
     "DeviceType string, DeviceInfo string, id_30 string, id_31 string, isFraud int"
 )
 HISTORY = [
-    (1, 100, 10.0, 1001, 111, 10, 1, 0.0, None, 0.0, 0.0, "W", "a.test", None, "desktop", "Windows 10", "Windows 10", "chrome 120", 0),
-    (2, 200, 20.0, 1001, 111, 10, 1, 0.0, 0.0, 0.0, 0.0, "W", "a.test", None, "desktop", "Windows 10", "Windows 10", "chrome 120", 1),
-    (3, 300, 15.5, 2002, 222, 20, 1, 1.0, 1.0, 1.0, 1.0, "C", "b.test", None, "mobile", "iOS", "iOS 16", "safari 17", 0),
-    (4, 400, 40.0, 1001, 111, 10, 1, 0.0, 0.0, 0.0, 0.0, "W", "c.test", None, "desktop", "Windows 11", "Windows 11", "chrome 121", 0),
-    (5, 500, 25.0, 2002, 222, 20, 1, 1.0, 1.0, 1.0, 1.0, "C", "b.test", None, "mobile", "iOS", "iOS 16", "safari 17", 1),
-    (6, 600, 12.0, 3003, 333, 30, 1, 2.0, 2.0, 2.0, 2.0, "R", None, None, None, None, None, None, 0),
+    (11, 1000, 8.0, 55, 5, 70, 3, 0.0, 2.0, 0.0, None, "H", "x.test", "y.test", "tablet", "Pad 9", "Android 12", "firefox 110", 0),
+    (12, 1450, 31.0, 66, 6, 80, 3, 3.0, 3.0, None, 3.0, "S", None, None, None, "Box", "Linux", "Edge 99", 1),
+    (13, 1600, 24.0, 55, 5, 70, 3, 0.0, 2.0, 0.0, 0.0, "H", "z.test", "y.test", "tablet", "Pad 9", "Android 12", "firefox 110", 0),
+    (14, 2300, 14.0, 66, 6, 80, 3, 3.0, 4.0, 3.0, 3.0, "S", None, None, None, "Box", "Linux", "Edge 99", 0),
+    (15, 2950, 48.0, 55, 5, 70, 3, 0.0, 0.0, 0.0, 0.0, "R", "x.test", "y.test", "tablet", "Pad 10", "Android 13", "firefox 111", 0),
+    (16, 3100, 5.5, 55, 5, 90, 3, 0.0, 1.0, 0.0, 0.0, "R", "x.test", None, None, None, None, None, 1),
+    (17, 3900, 19.0, 77, 7, 60, 3, 1.0, 1.0, 1.0, 1.0, "H", "x.test", None, None, None, None, None, 0),
 ]
 
 

@@ -10,11 +10,11 @@ from tests.fixtures import basic
 def test_rare_and_unseen(spark):
     train = basic(spark)
     levels = enc.fit_levels(train, ["ProductCD"], rare_min_count=4)
-    score = spark.createDataFrame([("C",), ("NEVER_SEEN",), (None,), ("W",)], "ProductCD string")
-    assert [r["ProductCD"] for r in rows(enc.apply_rare_levels(score, levels, ["ProductCD"]))] == ["OTHER", "UNKNOWN", "MISSING", "W"]
+    score = spark.createDataFrame([("S",), ("new",), (None,), ("H",)], "ProductCD string")
+    assert [r["ProductCD"] for r in rows(enc.apply_rare_levels(score, levels, ["ProductCD"]))] == ["OTHER", "UNKNOWN", "MISSING", "H"]
     vocabulary = enc.fit_vocabulary(levels)
     found = {r["ProductCD"]: r["ProductCD__index"] for r in rows(enc.apply_vocabulary(score, vocabulary, ["ProductCD"]))}
-    assert found == {"C": 2, "NEVER_SEEN": 1, None: 0, "W": 3}
+    assert found == {"S": 2, "new": 1, None: 0, "H": 3}
 
 
 def test_missing_never_seen_in_training(spark):
@@ -64,7 +64,14 @@ def test_weights(spark):
 def test_linear_encoding(spark):
     groups = {"numeric": ["TransactionAmt"], "low_cardinality": ["ProductCD"], "high_cardinality": ["card1"]}
     state = enc.fit_linear(basic(spark), groups, rare_min_count=4)
-    encoded, names = enc.apply_linear(spark.createDataFrame([(None, "C", 1), (5.0, "W", 99)], "TransactionAmt double, ProductCD string, card1 long"), state)
-    assert names == ["num__TransactionAmt", "num__TransactionAmt__missing", "cat__ProductCD__W", "cat__ProductCD__infrequent", "freq__card1"]
+    encoded, names = enc.apply_linear(spark.createDataFrame([(None, "S", 9), (5.0, "H", 99)], "TransactionAmt double, ProductCD string, card1 long"), state)
+    assert names == ["num__TransactionAmt", "num__TransactionAmt__missing", "cat__ProductCD__H", "cat__ProductCD__infrequent", "freq__card1"]
     first, second = [[r[f"x{i}"] for i in range(5)] for r in rows(encoded)]
     assert first[2:4] == [0.0, 1.0] and second[2:4] == [1.0, 0.0] and second[4] == 0.0 and first[1] > 0 and second[1] == 0.0
+
+
+def test_any_number_of_levels(spark):
+    train = spark.range(3000).select(F.concat(F.lit("v"), F.col("id") % 1500).alias("x"))
+    levels = enc.fit_levels(train.union(train.where("x < 'v2'")), ["x"], rare_min_count=3)
+    score = spark.createDataFrame([("v1",), ("v3",), ("nowhere",)], "x string")
+    assert [r["x"] for r in rows(enc.apply_rare_levels(score, levels, ["x"]), "x")] == ["OTHER", "UNKNOWN", "v1"]

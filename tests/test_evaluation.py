@@ -29,12 +29,14 @@ def brute_auc(y, p):
     return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
 
 
-def test_small_example(spark):
-    curve = e.pr_curve(frame(spark, [0, 0, 0, 1, 1], [0.05, 0.10, 0.20, 0.70, 0.90]))
+def test_perfect_order(spark):
+    """Four fraud cases above six others: any floor up to 4/10 can be had with full recall."""
+    curve = e.pr_curve(frame(spark, [1, 0, 1, 0, 0, 1, 0, 0, 1, 0], [0.81, 0.33, 0.77, 0.12, 0.45, 0.93, 0.27, 0.06, 0.66, 0.51]))
     assert rows(e.ranking_metrics(curve)) == [{"average_precision": 1.0, "roc_auc": 1.0}]
-    best = rows(e.operating_threshold(curve, floor=0.5))[0]
-    assert best == {"threshold": 0.10, "method": "maximum_recall_with_precision_at_least_0.50", "precision": 0.5, "recall": 1.0}
-    assert rows(e.operating_threshold(curve, floor=1.1))[0]["method"] == "maximum_f1_fallback"
+    best = rows(e.operating_threshold(curve, floor=0.8))[0]
+    assert best == {"threshold": 0.51, "method": "maximum_recall_with_precision_at_least_0.80", "precision": 0.8, "recall": 1.0}
+    fallback = rows(e.operating_threshold(curve, floor=1.01))[0]
+    assert fallback["method"] == "maximum_f1_fallback" and fallback["threshold"] == 0.66
 
 
 def test_empty_curve_falls_back(spark):
@@ -65,19 +67,24 @@ def test_confusion_without_hits(spark):
     assert (one["tn"], one["fp"], one["fn"], one["tp"]) == (1, 0, 1, 0) and one["precision"] == one["f1"] == 0.0
 
 
-def test_blend(spark):
-    y, a, b = [0, 0, 0, 1, 1, 1], [0.1, 0.2, 0.4, 0.5, 0.7, 0.9], [0.2, 0.3, 0.1, 0.8, 0.6, 0.7]
+@pytest.mark.parametrize("chunk_rows", [3, 1_000_000])
+def test_blend_grid_against_definition(spark, chunk_rows):
+    rng = random.Random(12)
+    y = [int(rng.random() < 0.3) for _ in range(60)]
+    a, b = ([round(min(0.99, max(0.01, rng.gauss(0.4 + gain * v, 0.2))), 2) for v in y] for gain in (0.1, 0.3))
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(zip(y, a, b))], "TransactionID long, isFraud int, a double, b double")
-    fitted = e.blend_fit(df, "a", "b", grid=11)
-    assert all(abs(r["first_weight"] + r["second_weight"] - 1) < 1e-12 for r in rows(fitted))
-    chunked = {r["grid"]: r["average_precision"] for r in rows(e.blend_fit(df, "a", "b", grid=11, chunk_rows=2))}
-    assert chunked == {r["grid"]: pytest.approx(r["average_precision"]) for r in rows(fitted)}
-    weight = e.best_weight(fitted)
-    assert weight == 0.0  # several weights rank perfectly and the first wins
-    mixed = [r["p"] for r in rows(df.select(e.blend(F.col("a"), F.col("b"), 0.3).alias("p")))]
-    assert all(0 < p < 1 for p in mixed)
-    edge = rows(spark.range(1).select(e.blend(F.lit(0.0), F.lit(1.0), 1.0).alias("p")))[0]["p"]
-    assert edge == pytest.approx(1e-6)
+    logit = lambda p: math.log(p / (1 - p))
+    fitted = rows(e.blend_fit(df, "a", "b", grid=6, chunk_rows=chunk_rows), "grid")
+    for r in fitted:
+        w = r["first_weight"]
+        assert w == pytest.approx(r["grid"] / 5) and w + r["second_weight"] == pytest.approx(1)
+        assert r["average_precision"] == pytest.approx(brute_ap(y, [w * logit(p) + (1 - w) * logit(q) for p, q in zip(a, b)]), abs=0.02)
+
+
+def test_blended_scores_stay_inside_their_limits(spark):
+    at = lambda p, q, w: rows(spark.range(1).select(e.blend(F.lit(p), F.lit(q), w).alias("p")))[0]["p"]
+    assert at(0.2, 0.2, 0.7) == pytest.approx(0.2) and 0.25 < at(0.25, 0.75, 0.4) < 0.75
+    assert at(1.0, 0.0, 1.0) == pytest.approx(1 - 1e-6)
 
 
 def test_groups_are_independent(spark):

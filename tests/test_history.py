@@ -16,23 +16,23 @@ def by_id(df):
 
 def test_known_values(spark):
     found = by_id(h.causal_features(history(spark)))
-    assert [found[i]["card1_key_prior_count"] for i in (1, 2, 4)] == [0, 1, 2]
-    assert [found[i]["card1_key_seconds_since_previous"] for i in (1, 2, 4)] == [None, 100.0, 200.0]
-    four = found[4]
-    assert four["uid_proxy_amount_prior_numeric_count"] == 2
-    assert four["uid_proxy_amount_prior_mean"] == 15.0 and four["uid_proxy_amount_prior_std"] == 5.0
-    assert four["uid_proxy_amount_difference"] == 25.0 and four["uid_proxy_amount_zscore"] == 5.0
-    assert math.isclose(four["uid_proxy_amount_ratio"], 40 / 15)
-    assert four["uid_proxy_P_emaildomain_prior_nunique"] == 1 and four["uid_proxy_DeviceInfo_prior_nunique"] == 1
+    assert [found[i]["card1_key_prior_count"] for i in (11, 13, 15, 16)] == [0, 1, 2, 3]
+    assert [found[i]["card1_key_seconds_since_previous"] for i in (11, 13, 15, 16)] == [None, 600.0, 1350.0, 150.0]
+    third = found[15]  # after amounts of 8 and 24 with the same client key
+    assert third["uid_proxy_amount_prior_numeric_count"] == 2
+    assert third["uid_proxy_amount_prior_mean"] == 16.0 and third["uid_proxy_amount_prior_std"] == 8.0
+    assert third["uid_proxy_amount_difference"] == 32.0 and third["uid_proxy_amount_zscore"] == 4.0 and third["uid_proxy_amount_ratio"] == 3.0
+    assert third["uid_proxy_P_emaildomain_prior_nunique"] == 2 and third["uid_proxy_DeviceInfo_prior_nunique"] == 1
+    assert found[16]["uid_proxy_prior_count"] == 0  # another address
 
 
 def test_label_and_future_do_not_matter(spark):
     base = history(spark)
     changed = base.withColumn("isFraud", 1 - F.col("isFraud")).withColumn(
-        "TransactionAmt", F.when(F.col("TransactionID") == 6, 9999.0).otherwise(F.col("TransactionAmt")))
-    audit = {r["check"]: r["violations"] for r in rows(h.leakage_audit(base, changed, F.col("TransactionID") < 6))}
+        "TransactionAmt", F.when(F.col("TransactionID") == 17, 4321.0).otherwise(F.col("TransactionAmt")))
+    audit = {r["check"]: r["violations"] for r in rows(h.leakage_audit(base, changed, F.col("TransactionID") < 17))}
     assert audit == {"past_features_changed": 0, "keys_without_first_row": 0}
-    leaked = base.withColumn("TransactionAmt", F.col("TransactionAmt") + (F.col("TransactionID") == 1).cast("int"))
+    leaked = base.withColumn("TransactionAmt", F.col("TransactionAmt") + (F.col("TransactionID") == 11).cast("int"))
     assert {r["check"]: r["violations"] for r in rows(h.leakage_audit(base, leaked))}["past_features_changed"] > 0
 
 
@@ -92,14 +92,29 @@ def test_equals_definition_with_and_without_hot_keys(spark, hot_rows):
     same(found, brute(data))
 
 
-def test_wide_rows_get_their_features_by_join(spark, monkeypatch):
-    data = generated(120, seed=5)
-    df = with_v2_row_features(spark.createDataFrame(data, HISTORY_SCHEMA))
-    joined = by_id(h.with_history(df))
-    monkeypatch.setattr(h, "MAX_CARRIED", 10_000)
-    carried = by_id(h.with_history(df))
-    assert joined == {i: {c: r[c] for c in joined[i]} for i, r in carried.items()}
-    same(joined, brute(data))
+@pytest.mark.parametrize("hot_rows", [1_000_000, 3])
+def test_same_rows_at_any_width_with_repeated_and_missing_ids(spark, hot_rows):
+    data = generated(60, seed=5)
+    data += [data[3], data[3], (None, *data[7][1:]), (None, *data[8][1:])]
+    narrow = with_v2_row_features(spark.createDataFrame(data, HISTORY_SCHEMA))
+    wide = narrow.withColumns({f"extra_{i}": F.lit(i) for i in range(40)})
+    names = h.feature_names(narrow.columns)
+    both = [h.with_history(df, hot_rows=hot_rows) for df in (narrow, wide)]
+    assert [df.count() for df in both] == [64, 64] and both[1].columns == [*wide.columns, *names]
+    assert h.history_features(wide, hot_rows=hot_rows).count() == 64
+    counts = [sorted(r["card1_key_prior_count"] for r in df.where("card1 = 7").collect()) for df in both]
+    assert counts[0] == counts[1] == list(range(len(counts[0])))
+
+
+def test_every_large_key_is_hot(spark):
+    df = spark.range(15_000).select(F.concat(F.lit("k"), F.col("id") % 5000).alias("k"))
+    assert h.hot_keys(df, ["k"], 2).count() == 5000
+
+
+def test_amounts_that_are_not_finite_count_as_missing(spark):
+    df = history(spark).withColumn("TransactionAmt", F.when(F.col("TransactionID") == 11, float("inf")).otherwise(F.col("TransactionAmt")))
+    third = by_id(h.causal_features(df))[15]
+    assert third["uid_proxy_prior_count"] == 2 and third["uid_proxy_amount_prior_numeric_count"] == 1 and third["uid_proxy_amount_prior_mean"] == 24.0
 
 
 def test_hot_keys_lists_the_large_ones(spark):

@@ -51,7 +51,7 @@ def test_exact_quantiles(spark, n):
 def test_chronological_split(spark):
     df = s.split_chronological(basic(spark))
     sizes = {r["split"]: r for r in rows(s.split_summary(df))}
-    assert {k: v["rows"] for k, v in sizes.items()} == {"train": 7, "validation": 1, "test": 2}
+    assert {k: v["rows"] for k, v in sizes.items()} == {"train": 8, "validation": 2, "test": 2}
     assert sizes["train"]["transaction_dt_max"] < sizes["validation"]["transaction_dt_min"]
     for bad in ({"train": 0.9, "validation": 0.2}, {"train": 0.0}):
         with pytest.raises(ValueError):
@@ -78,3 +78,19 @@ def test_stratified_sample(spark):
     assert sample.exceptAll(again).isEmpty()
     assert s.sample_stratified(df, 5000).count() == 1000
     assert {r["isFraud"]: r["count"] for r in rows(s.sample_debug(df, 5).groupBy("isFraud").count())} == {0: 5, 1: 1}
+
+
+def test_samples_of_many_classes_and_missing_ones(spark):
+    df = spark.range(6000).select(F.col("id").alias("TransactionID"), F.when(F.col("id") % 300 < 299, F.col("id") % 300).cast("int").alias("isFraud"))
+    debug = {r["isFraud"]: r["count"] for r in rows(s.sample_debug(df, 600).groupBy("isFraud").count())}
+    assert len(debug) == 300 and None in debug and set(debug.values()) == {2}
+    assert s.sample_stratified(df, 900).count() == 900
+
+
+def test_sample_takes_the_smallest_hashes(spark):
+    import hashlib
+
+    df = spark.range(40_000).select(F.col("id").alias("TransactionID"), (F.col("id") % 2).cast("int").alias("isFraud"))
+    got = {r["TransactionID"] for r in s.sample_stratified(df, 9000).collect()}
+    ranked = sorted(range(40_000), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    assert got == {i for c in (0, 1) for i in [x for x in ranked if x % 2 == c][:4500]}

@@ -21,25 +21,25 @@ def names():
 
 def test_frozen_lookup_of_the_next_row(spark):
     df = history(spark)
-    state = ref.build(df.where("TransactionID <= 5"))
+    state = ref.build(df.where("TransactionID <= 15"))
     meta = state.meta.first()
-    assert (meta["history_end_transaction_dt"], meta["history_end_transaction_id"], meta["history_row_count"]) == (500.0, 5, 5)
-    moved = df.where("TransactionID = 6").withColumns({"card1": F.lit(1001).cast("long"), "addr1": F.lit(10).cast("long")})
+    assert (meta["history_end_transaction_dt"], meta["history_end_transaction_id"], meta["history_row_count"]) == (2950.0, 15, 5)
+    moved = df.where("TransactionID = 17").withColumns({"card1": F.lit(66).cast("long"), "addr1": F.lit(80).cast("long")})
     one = rows(ref.apply(moved, state))[0]
-    assert one["card1_key_prior_count"] == 3 and one["card1_key_seconds_since_previous"] == 200.0
-    close(rows(ref.apply(df.where("TransactionID = 6"), state))[0], by_id(h.causal_features(df))[6], names())
+    assert one["card1_key_prior_count"] == 2 and one["card1_key_seconds_since_previous"] == 1600.0
+    close(rows(ref.apply(df.where("TransactionID = 16"), state))[0], by_id(h.causal_features(df))[16], names())
 
 
 def test_score_then_merge_equals_causal(spark):
     df = history(spark)
     causal = by_id(h.causal_features(df))
-    state = ref.build(df.where("TransactionID <= 4"))
-    for ident in (5, 6):
+    state = ref.build(df.where("TransactionID <= 14"))
+    for ident in (15, 16, 17):
         row = df.where(F.col("TransactionID") == ident)
         close(rows(ref.apply(row, state))[0], causal[ident], names())
         state = ref.merge(state, row)
     meta = state.meta.first()
-    assert meta["history_end_transaction_id"] == 6 and meta["history_row_count"] == 6
+    assert meta["history_end_transaction_id"] == 17 and meta["history_row_count"] == 7
 
 
 def test_merge_equals_one_build(spark):
@@ -55,20 +55,20 @@ def test_merge_equals_one_build(spark):
 
 def test_save_and_load(spark, tmp_path):
     df = history(spark)
-    state = ref.build(df.where("TransactionID <= 5"))
+    state = ref.build(df.where("TransactionID <= 15"))
     ref.save(state, str(tmp_path))
     loaded = ref.load(spark, str(tmp_path), state.specs)
-    close(rows(ref.apply(df.where("TransactionID = 6"), loaded))[0], by_id(h.causal_features(df))[6], names())
+    close(rows(ref.apply(df.where("TransactionID = 16"), loaded))[0], by_id(h.causal_features(df))[16], names())
 
 
 def test_guards(spark):
     df = history(spark)
-    state = ref.build(df.where("TransactionID <= 4"))
+    state = ref.build(df.where("TransactionID <= 14"))
     with pytest.raises(ValueError, match="overlaps"):
-        ref.require_after_cutoff(df.where("TransactionID = 4"), state.meta)
+        ref.require_after_cutoff(df.where("TransactionID = 14"), state.meta)
     with pytest.raises(ValueError, match="overlaps"):
-        ref.merge(state, df.where("TransactionID = 3"))
+        ref.merge(state, df.where("TransactionID = 13"))
     with pytest.raises(ValueError, match="target exclusion"):
-        ref.require_after_cutoff(df.where("TransactionID = 5"), state.meta.withColumn("uses_target", F.lit(True)))
+        ref.require_after_cutoff(df.where("TransactionID = 15"), state.meta.withColumn("uses_target", F.lit(True)))
     with pytest.raises(ValueError, match="cannot be empty"):
         ref.build(df.limit(0))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from riskspark.functions import row_features as rf
 from riskspark.schema import contract_columns, contract_schema
 from tests.conftest import rows
-from tests.fixtures import basic, history
+from tests.fixtures import BASIC, basic, history
 
 
 def test_contract_has_433_columns():
@@ -16,13 +16,13 @@ def test_contract_has_433_columns():
 
 def test_v1_features(spark):
     found = {r["TransactionID"]: r for r in rows(rf.with_v1_features(basic(spark)))}
-    assert found[1]["transaction_amount_cents"] == 50
-    assert math.isclose(found[1]["transaction_amount_log1p"], math.log1p(20.5))
-    assert found[2]["transaction_amount_log1p"] is None and found[2]["transaction_amount_cents"] is None
-    # R_emaildomain and DeviceType are missing in every row.
-    assert {i: r["num_missing"] for i, r in found.items()} == {i: 2 + (i in (2, 4, 10)) for i in found}
-    assert found[4]["transaction_missing"] == 1 and found[10]["card_address_missing"] == 1 and found[1]["identity_missing"] == 1
-    assert found[10]["card_1_2"] == "7__MISSING" and found[1]["email_pair"] == "a.com__MISSING"
+    assert found[27]["transaction_amount_cents"] == 75
+    assert math.isclose(found[27]["transaction_amount_log1p"], math.log1p(18.75))
+    assert found[24]["transaction_amount_log1p"] is None and found[24]["transaction_amount_cents"] is None
+    empty = {r[0]: sum(v is None for v in r) for r in BASIC}
+    assert {i: r["num_missing"] for i, r in found.items()} == empty and empty[24] == 5
+    assert found[21]["transaction_missing"] == 1 and found[24]["card_address_missing"] == 1 and found[22]["identity_missing"] == 1
+    assert found[24]["card_1_2"] == "5__MISSING" and found[29]["email_pair"] == "post.test__MISSING"
 
 
 def test_negative_amount_logs_as_zero(spark):
@@ -32,11 +32,11 @@ def test_negative_amount_logs_as_zero(spark):
 
 def test_v2_features(spark):
     found = {r["TransactionID"]: r for r in rows(rf.with_v2_row_features(history(spark)))}
-    assert found[1]["uid_proxy"] == "1001__10__0" and found[3]["uid_proxy"] == "2002__20__-1"
-    assert found[6]["device_key"] == "MISSING__MISSING" and found[4]["device_key"] == "desktop__Windows 11"
-    assert found[1]["browser_family"] == "chrome" and found[3]["operating_system_family"] == "ios"
+    assert found[13]["uid_proxy"] == "55__70__0" and found[14]["uid_proxy"] == "66__80__-3"
+    assert found[17]["device_key"] == "MISSING__MISSING" and found[15]["device_key"] == "tablet__Pad 10"
+    assert found[12]["browser_family"] == "edge" and found[15]["operating_system_family"] == "android"
     # A missing text is filled before lower-casing, so it reads as a word.
-    assert found[6]["browser_family"] == "missing"
+    assert found[17]["browser_family"] == "missing"
 
 
 def test_family_without_leading_letter(spark):
