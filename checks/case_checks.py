@@ -215,7 +215,7 @@ def _rank(spark, sf_dir):
 
 
 LABELLED = """labelled as (select *, case when feature like '%seconds_since_previous%' then 'time since the previous related transaction' when feature like '%prior_mean%' then 'historical average transaction amount'
-  when feature like '%prior_std%' then 'historical transaction amount variability' when feature like '%prior_nunique%' then 'historical variety of transaction activity'
+  when feature like '%prior_std%' then 'historical transaction amount variability'
   when feature like '%prior_count%' then 'previous transaction frequency' end as label from ranked where rank <= 5),
 named as (select transaction_id, model_identifier, label, min(rank) as rank from labelled where decision and contribution > 1e-12 and label is not null group by all),
 worded as (select transaction_id, model_identifier, string_agg(label, ' and ' order by rank) as words from (select *, row_number() over (partition by transaction_id, model_identifier order by rank) as n from named) where n <= 2 group by all)"""

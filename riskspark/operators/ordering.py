@@ -61,6 +61,16 @@ def running_totals(
     )
 
 
+def max_of_earlier(df: DataFrame, order: list[Column], value: Column, name: str, *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add the largest ``value`` of all rows before a row in ``order``, NULL for the first."""
+    base = ordered(df, order, "earlier").withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk_rows)))
+    # One row per chunk: N / chunk_rows rows in the window over chunks.
+    chunks = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = base.groupBy("_chunk").agg(F.max(value).alias("_m")).select("_chunk", F.max("_m").over(chunks).alias("_before"))
+    inside = Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    return base.join(before, "_chunk").withColumn(name, F.greatest("_before", F.max(value).over(inside))).drop("_chunk", "_pos", "_before")
+
+
 def sequence_numbers(df: DataFrame, order: list[Column] | None = None, name: str = "sequence_number") -> DataFrame:
     """Add a dense zero-based order number: one range sort, no window over the rows."""
     base = ordered(df, order or event_order(), "sequence").withColumn(

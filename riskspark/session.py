@@ -20,12 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_folder(spark.sparkContext.applicationId)
+    return _local_folder(spark.sparkContext.applicationId).name
 
 
 @functools.cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"riskspark-{application}-")
+def _local_folder(application: str) -> tempfile.TemporaryDirectory:
+    """Goes with everything in it when the process ends."""
+    return tempfile.TemporaryDirectory(prefix=f"riskspark-{application}-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from riskspark.functions.row_features import with_v2_row_features
+from riskspark.functions.row_features import number, with_v2_row_features
 from riskspark.operators import reference_state as ref
 from riskspark.operators.cases import apply_threshold, derive_alerts
-from riskspark.operators.contract import DUPLICATE_CODE, DUPLICATE_TEXT, validate_rows
+from riskspark.operators.contract import DUPLICATE_CODE, DUPLICATE_TEXT, INVALID_CODE, OVERLAP_TEXT, validate_rows
 from riskspark.operators.history import KEY_HISTORIES, KeyHistory, KnownState, with_history
+from riskspark.operators.ordering import event_order, max_of_earlier
 from riskspark.schema import AMOUNT, ID, TIME
 from riskspark.session import single_row, write_through
 from riskspark.streaming.replay import paced, read_replay
@@ -72,7 +73,11 @@ class StreamJob:
     # --- one batch ---
 
     def judge(self, rows: DataFrame, meta: DataFrame) -> DataFrame:
-        """Verdict per row: later copies of an id, contract failures, rows at or before the cutoff."""
+        """Verdict per row: later copies of an id, contract failures, rows that came too late.
+
+        A row is too late at or before the end of the stored history, or of any valid row ahead of it in this batch; a row
+        refused for that doesn't move the end, because it lies before it.
+        """
         end = meta.first()  # one row of metadata
         cutoff = None
         if end["history_end_transaction_dt"] is not None:
@@ -81,6 +86,14 @@ class StreamJob:
         marked = rows.join(firsts, ID, "left").withColumn("_copy", F.col(self.sequence) > F.col("_first")).drop("_first")
         # Copies are judged here, so that the first copy is still scored.
         once = validate_rows(marked.where("not _copy").drop("_copy"), cutoff=cutoff, unique=True)
+        event = F.struct(number(TIME).alias("t"), number(ID).alias("i"))
+        placed = max_of_earlier(
+            once, [F.col(self.sequence), *event_order()], F.when(F.col("error_code").isNull(), event), "_end")
+        late = F.col("error_code").isNull() & F.coalesce(F.col("_end") >= event, F.lit(False))
+        once = placed.withColumns({
+            "error_message": F.when(late, F.lit(OVERLAP_TEXT)).otherwise(F.col("error_message")),
+            "error_code": F.when(late, F.lit(INVALID_CODE)).otherwise(F.col("error_code")),
+        }).drop("_end")
         copies = marked.where("_copy").drop("_copy").withColumns(
             {"error_message": F.lit(DUPLICATE_TEXT), "error_code": F.lit(DUPLICATE_CODE)})
         return once.unionByName(copies)

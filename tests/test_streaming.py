@@ -55,3 +55,24 @@ def test_bad_rows_and_copies_do_not_stop_the_stream(spark, tmp_path):
     assert sorted(r["sequence_number"] for r in rows(job.output("dead_letters"))) == [1, 3]
     assert {r["TransactionID"]: r["actual_label"] for r in rows(job.output("predictions"))} == {1: True, 3: False, 4: None}
     assert [(r["TransactionID"], r["suspicious_amount"]) for r in rows(job.output("alerts"), "TransactionID")] == [(1, 5.0), (3, 7.0)]
+
+
+def test_late_rows_inside_a_batch_are_refused(spark, tmp_path):
+    data = [(4, 100, 5.0, 1, 0), (5, 50, 5.0, 1, 1), (6, 100, 5.0, 1, 2), (3, 100, 5.0, 1, 3), (7, 300, -1.0, 1, 4), (8, 200, 5.0, 1, 5)]
+    df = spark.createDataFrame(data, "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, sequence_number long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    job = StreamJob(spark, f"{tmp_path}/out", score, spark.createDataFrame([("m", 0.5)], "model_identifier string, threshold double"), [h.KeyHistory("card1_key")])
+    job.seed(df.schema)
+    job.start(f"{tmp_path}/in", df.schema, f"{tmp_path}/check").awaitTermination()
+    assert {r["TransactionID"]: r["card1_key_prior_count"] for r in rows(job.output("features"))} == {4: 0, 6: 1, 8: 2}
+    assert sorted(r["TransactionID"] for r in rows(job.output("dead_letters"))) == [3, 5, 7]
+
+
+def test_max_of_earlier_in_chunks(spark):
+    from riskspark.operators.ordering import max_of_earlier
+
+    values = [3, 1, None, 7, 2, 9, 4, 4, 8, 10]
+    df = spark.createDataFrame(list(enumerate(values)), "at int, v int").repartition(3)
+    for chunk_rows in (2, 1000):
+        found = rows(max_of_earlier(df, [F.col("at")], F.col("v"), "m", chunk_rows=chunk_rows), "at")
+        assert [r["m"] for r in found] == [max((v for v in values[:i] if v is not None), default=None) for i in range(10)]
