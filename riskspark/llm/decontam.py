@@ -7,7 +7,8 @@ of its own walk and windows whose samples equal an item's are candidates. The nu
 the target recall on randomly edited items. Candidates are verified by their exact edit distance.
 
 Before the walk, windows are dropped that cannot be within the bound: k edits destroy at most k words and 2 k pairs of neighbouring
-words of an item, so a window needs L - k known words and L - 1 - 2 k known pairs. This drops no answer, at any size of input.
+words of an item, so a window needs L - k known words and all but 2 k of the different pairs that items of its length have. This drops no answer, at
+any size of input.
 
 Items come to the executors in blocks of ``ITEMS_AT_A_TIME``, one pass over the documents each; documents are never shuffled. Words
 are runs of ASCII letters, digits and non-ASCII characters, lower-cased. Null and empty texts match nothing and empty items are never found; repeated rows
@@ -33,8 +34,7 @@ from riskspark.llm.common import id_text, slices
 ITEMS_AT_A_TIME = 20_000
 SIMILARITY = 0.8
 _SPLIT = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_FILTER_BITS = 22
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @dataclass(frozen=True)
@@ -78,12 +78,14 @@ class Walks:
     """Sampled CGK walks of windows of one length; repetition r has its own random steps and sampled positions."""
 
     def __init__(self, length: int, repetitions: int, samples: int, seed: int):
-        self.length, self.steps = length, 3 * length
+        self.length = length
         rng = np.random.default_rng([seed, length])
-        self.salts = rng.integers(1, 2**63, (self.steps, repetitions), np.uint64)
-        self.sampled = np.zeros((self.steps, repetitions), bool)
+        reach = max(1, 7 * length // 4)  # a walk moves on at every second step, so it hasn't left the window by then
+        self.salts = rng.integers(1, 2**63, (reach, repetitions), np.uint64)
+        self.sampled = np.zeros((reach, repetitions), bool)
         for r in range(repetitions):
-            self.sampled[rng.permutation(self.steps)[:samples], r] = True
+            self.sampled[rng.permutation(reach)[:samples], r] = True
+        self.steps = int(np.flatnonzero(self.sampled.any(1))[-1]) + 1
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
         """One key per window (row of word numbers, padded with -1) and repetition."""
@@ -110,13 +112,20 @@ class Index:
         found = [(item, words_of(text)) for item, text in items]
         self.numbers: dict[bytes, int] = {}
         self.items: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
         for item, words in found:
             if words:
-                numbers = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
-                self.items[len(words)].append((item, numbers))
-                self.filter[_pairs(np.array(numbers, np.int64))] = True
+                self.items[len(words)].append((item, [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]))
         self.lengths = sorted(self.items)
+        # Which lengths have an item with a pair of neighbours: one bit a length (lengths may share one), 16 places or more a pair.
+        self.bit = {n: np.uint64(1 << place % 64) for place, n in enumerate(self.lengths)}
+        self.shift = np.uint64(64 - max(10, (16 * sum(len(w) for _, w in found)).bit_length()))
+        self.filter = np.zeros(1 << 64 - int(self.shift), np.uint64)
+        self.pairs_of: dict[int, int] = {}  # the least number of different places that an item of the length has
+        for n in self.lengths:
+            for _, numbers in self.items[n]:
+                places = np.unique(self._pairs(np.array(numbers, np.int64)))
+                self.filter[places] |= self.bit[n]
+                self.pairs_of[n] = min(self.pairs_of.get(n, n), len(places))
         self.walks = {n: Walks(n, repetitions, setting.samples, setting.seed) for n in self.lengths}
         self.keys: dict[int, list[dict[int, list[int]]]] = {}
         for n in self.lengths:
@@ -137,17 +146,26 @@ class Index:
         for at, words in zip(starts.tolist(), tokens):
             flat[at:at + len(words)] = np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
         known = np.cumsum(np.concatenate([[0], flat > 0]))
-        pair = np.zeros(len(flat), bool)
+        lengths_of = np.zeros(len(flat), np.uint64)  # of items that have the pair starting here
         both = np.flatnonzero((flat[:-1] > 0) & (flat[1:] > 0))
-        pair[both] = self.filter[_pairs(flat[np.stack([both, both + 1], 1)])[:, 0]]
-        pairs = np.cumsum(np.concatenate([[0], pair]))
+        place = self._pairs(flat[np.stack([both, both + 1], 1)])[:, 0]
+        lengths_of[both] = self.filter[place]
+        both, place = both[lengths_of[both] > 0], place[lengths_of[both] > 0]
+        order = np.argsort(place, kind="stable")
+        same_before = np.full(len(flat), -1)  # where the same pair stood last, so that a window counts it once
+        again = place[order[1:]] == place[order[:-1]]
+        same_before[both[order[1:][again]]] = both[order[:-1][again]]
         best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        for shortest, longest, lengths in self._classes():
-            few = min(max(0, n - 1 - 2 * self._edits(n)) for n in lengths)
+        for longest, lengths in self._classes():
+            few = min(max(0, self.pairs_of[n] - 2 * self._edits(n)) for n in lengths)
+            pairs = np.cumsum(np.concatenate([[0], lengths_of & functools.reduce(np.bitwise_or, [self.bit[n] for n in lengths]) > 0]))
             dense = np.flatnonzero(pairs[longest:] - pairs[:-longest] >= few) if few else np.arange(len(flat) - longest)
             for n in lengths:
                 k = self._edits(n)
-                ok = dense[(pairs[dense + n - 1] - pairs[dense] >= n - 1 - 2 * k) & (known[dense + n] - known[dense] >= n - k)]
+                ok = dense[known[dense + n] - known[dense] >= n - k]
+                if self.pairs_of[n] - 2 * k > 0 and len(ok):
+                    inside = ok[:, None] + np.arange(n - 1)
+                    ok = ok[((lengths_of[inside] & self.bit[n] > 0) & (same_before[inside] < ok[:, None])).sum(1) >= self.pairs_of[n] - 2 * k]
                 if not len(ok):
                     continue
                 owner = np.searchsorted(starts, ok, side="right") - 1
@@ -173,21 +191,20 @@ class Index:
     def _edits(self, n: int) -> int:
         return edits_allowed(n, self.setting.similarity)
 
-    def _classes(self) -> Iterator[tuple[int, int, list[int]]]:
+    def _pairs(self, numbers: np.ndarray) -> np.ndarray:
+        """Place in the filter of each two neighbours (along the last axis)."""
+        a, b = numbers[..., :-1].astype(np.uint64), numbers[..., 1:].astype(np.uint64)
+        return (((a * _MIX) ^ b) * _PRIME >> self.shift).astype(np.int64)
+
+    def _classes(self) -> Iterator[tuple[int, list[int]]]:
         """Lengths in classes of a quarter's span, for a first look with one window for all of them."""
         left = self.lengths
         while left:
             held = [n for n in left if n <= left[0] * 1.25]
-            yield held[0], held[-1], held
+            yield held[-1], held
             left = left[len(held):]
 
 
-def _pairs(numbers: np.ndarray) -> np.ndarray:
-    """Place in the filter of each two neighbours (along the last axis)."""
-    a, b = numbers[..., :-1].astype(np.uint64), numbers[..., 1:].astype(np.uint64)
-    return (((a * np.uint64(0xC2B2AE3D27D4EB4F)) ^ b) * _PRIME >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-
-
 def edited(words: list[int], edits: int, rng: random.Random) -> list[int]:
     """A window of the same length after ``edits`` random edits; what is lost or gained at its end is foreign (negative)."""
     out = list(words)
