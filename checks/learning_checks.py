@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import query, txn_sql
-from riskspark.operators import sampling
+from checks.registry import query, rounded, txn_sql
+from riskspark.operators import reference_state, sampling
+from riskspark.operators.evaluation import cv_summary
 from riskspark.operators.history import KeyHistory, with_history
 from riskspark.functions.row_features import with_v2_row_features
-from riskspark.plans import scoring, training
+from riskspark.plans import batch, scoring, training
 from riskspark.session import write_through
 from riskspark.sources.demo_tables import txn
 
@@ -31,51 +32,79 @@ def split(rows, name):
     return rows.where(F.col("split") == name).drop("split")
 
 
-def quality(scored, name):
-    from riskspark.operators import evaluation
-    return evaluation.ranking_metrics(evaluation.pr_curve(scored)).select(F.lit(name).alias("model"), "average_precision", "roc_auc")
+def facts(fitted, rows, name):
+    """What must hold for any fit: all test rows scored once, scores in [0, 1], and more learnt from the training rows than their base rate."""
+    scored = fitted.score(split(rows, "test"))
+    train = split(rows, "train")
+    precision = training.average_precision(fitted.score(train))
+    base = train.agg(F.avg("isFraud")).first()[0]
+    outside = F.col("probability").isNull() | F.isnan("probability") | (F.col("probability") < 0) | (F.col("probability") > 1)
+    return scored.agg(
+        F.lit(name).alias("model"), F.count(F.lit(1)).alias("rows_scored"), F.countDistinct("TransactionID").alias("ids_scored"),
+        F.count_if(outside).alias("outside"), F.sum("isFraud").cast("bigint").alias("positives"), F.lit(precision > base).alias("better_than_base_rate"))
+
+
+def facts_sql(name):
+    """The latest 15 percent of the rows, whose scores may be anything but missing or outside."""
+    return txn_sql(f"""
+select '{name}' as model, count(*) as rows_scored, count(distinct TransactionID) as ids_scored, 0::bigint as outside, sum(isFraud)::bigint as positives,
+  true as better_than_base_rate
+from placed where place >= cast(floor(n * (0.70::double + 0.15::double)) as bigint)""", PLACED)
+
 
+PLACED = "placed as (select *, row_number() over (order by TransactionDT, TransactionID) - 1 as place, count(*) over () as n from txn)"
 
-@query("train_logistic")
+
+@query("train_logistic", facts_sql("logistic_regression"))
 def _logistic(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    return quality(training.train_logistic(split(rows, "train"), groups=GROUPS).score(split(rows, "test")), "logistic_regression")
+    return facts(training.train_logistic(split(rows, "train"), groups=GROUPS), rows, "logistic_regression")
 
 
-@query("train_boosted")
+@query("train_boosted", facts_sql("boosted"))
 def _boosted(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    fitted = training.train_boosted(split(rows, "train"), split(rows, "validation"), groups=GROUPS, max_iter=10)
-    return quality(fitted.score(split(rows, "test")), "boosted")
+    return facts(training.train_boosted(split(rows, "train"), split(rows, "validation"), groups=GROUPS), rows, "boosted")
 
 
-@query("train_network")
+@query("train_network", facts_sql("network"))
 def _network(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    return quality(training.train_network(split(rows, "train"), groups=GROUPS, max_iter=20).score(split(rows, "test")), "network")
+    return facts(training.train_network(split(rows, "train"), groups=GROUPS), rows, "network")
 
 
 @query("search_folds")
 def _folds(spark, sf_dir):
     rows = prepared(spark, sf_dir)
     development = rows.where("split <> 'test'").drop("split")
-    from riskspark.operators.evaluation import cv_summary
-    return cv_summary(training.search_folds(development, groups=GROUPS, max_iter=3))
+    return cv_summary(training.search_folds(development, groups=GROUPS))
 
 
 @query("search_weight_mode")
 def _mode(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    return training.search_weight_mode(split(rows, "train"), split(rows, "validation"), groups=GROUPS, max_iter=10)
+    return training.search_weight_mode(split(rows, "train"), split(rows, "validation"), groups=GROUPS)
+
+
+# Models of fixed coefficients, which SQL can state.
+FIRST = {"TransactionAmt": 0.0131, "D1": -0.0271, "D2": 0.0519}
+SECOND = {"card1": 0.00117, "addr1": 0.413, "TransactionAmt": 0.00713}
+SCORERS = {"logistic_regression.v2": scoring.LinearScorer(FIRST, -1.7), "lightgbm.v2": scoring.LinearScorer(SECOND, -0.9)}
+
 
+def z_sql(scorer, without=None):
+    return " + ".join([f"({scorer.intercept}::double)", *[f"{w}::double * coalesce({c}::double, 0)" for c, w in scorer.coefficients.items() if c != without]])
 
-@query("score_models")
+
+def p_sql(scorer, without=None):
+    return f"1.0 / (1.0 + exp(-({z_sql(scorer, without)})))"
+
+
+@query("score_models", txn_sql(" union all ".join(
+    f"select TransactionID, '{name}' as model_identifier, round({p_sql(m)}, 9) + 0.0 as risk_score from txn" for name, m in SCORERS.items())))
 def _score(spark, sf_dir):
-    rows = prepared(spark, sf_dir)
-    train = split(rows, "train")
-    models = {"logistic_regression.v2": training.train_logistic(train, groups=GROUPS),
-              "lightgbm.v2": training.train_boosted(train, split(rows, "validation"), groups=GROUPS, max_iter=5)}
-    return scoring.score_models(split(rows, "test"), models)
+    found = scoring.score_models(txn(spark, sf_dir), SCORERS)
+    return found.select("TransactionID", "model_identifier", rounded("risk_score"))
 
 
 def _toy_model():
@@ -94,8 +123,41 @@ def _importance(spark, sf_dir):
     return training.feature_importance(training.train_logistic(split(rows, "train"), groups=GROUPS))
 
 
-@query("explain_ablation")
+HIDDEN = "hidden as (" + " union all ".join(
+    f"select TransactionID, '{c}' as feature, {p_sql(SCORERS['lightgbm.v2'])} - {p_sql(SCORERS['lightgbm.v2'], c)} as contribution from txn where {c} is not null" for c in SECOND) + ")"
+
+
+@query("explain_ablation", txn_sql("""
+select TransactionID, feature, round(contribution, 9) + 0.0 as contribution, row_number() over (partition by TransactionID order by abs(round(contribution, 9)) desc, feature) as rank,
+  case when round(contribution, 9) >= 0 then 'toward_fraud' else 'toward_not_fraud' end as direction from hidden""", HIDDEN))
 def _ablation(spark, sf_dir):
-    rows = prepared(spark, sf_dir)
-    fitted = training.train_logistic(split(rows, "train"), groups=GROUPS)
-    return scoring.explain_ablation(split(rows, "test"), fitted, INPUTS).select("TransactionID", "feature", "contribution", "rank", "direction")
+    found = scoring.explain_ablation(txn(spark, sf_dir), SCORERS["lightgbm.v2"], list(SECOND))
+    return found.select("TransactionID", "feature", rounded("contribution"), F.col("rank").cast("bigint").alias("rank"), "direction")
+
+
+CUT = 22 * 86_400
+LATER = scoring.LinearScorer({"TransactionAmt": 0.0131, "card1_key_prior_count": 0.0213}, -1.1)
+EARLY = scoring.LinearScorer({"TransactionAmt": 0.0131, "has_identity": 0.771}, -1.3)
+
+
+def raw_batch(spark, sf_dir):
+    """All rows, early ones included, some with a negative amount and some twice."""
+    rows = txn(spark, sf_dir).drop("probability", "probability_b", "k")
+    changed = rows.withColumn("TransactionAmt", F.when(F.col("TransactionID") % 50 == 0, -1.0).otherwise(F.col("TransactionAmt")))
+    return changed.unionByName(changed.where("TransactionID % 40 = 1"))
+
+
+@query("batch_scoring", txn_sql(f"""
+select TransactionID, m as model_identifier, round(p, 9) + 0.0 as risk_score, threshold, p >= threshold as decision from (
+  select TransactionID, 'logistic_regression.v1' as m, 0.45 as threshold, {p_sql(EARLY)} as p
+  from (select *, cast(coalesce(DeviceType, DeviceInfo, id_30, id_31) is not null as int) as has_identity from valid)
+  union all
+  select TransactionID, 'lightgbm.v2', 0.55, {p_sql(LATER)} from (select v.*, coalesce(s.n, 0) as card1_key_prior_count from valid v left join seen s using (card1)))""",
+    f"valid as (select * from txn where TransactionDT >= {CUT} and TransactionID % 50 <> 0 and TransactionID % 40 <> 1)",
+    f"seen as (select card1, count(*) as n from txn where TransactionDT < {CUT} group by card1)"))
+def _batch(spark, sf_dir):
+    history = txn(spark, sf_dir).where(f"TransactionDT < {CUT}")
+    state = reference_state.build(history, [KeyHistory("card1_key")])
+    models = [batch.BatchModel("logistic_regression.v1", "v1", EARLY.score, 0.45), batch.BatchModel("lightgbm.v2", "v2", LATER.score, 0.55)]
+    found = batch.score_batch(raw_batch(spark, sf_dir), models, state=state).predictions
+    return found.select("TransactionID", "model_identifier", rounded("risk_score"), "threshold", "decision")

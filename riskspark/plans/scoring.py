@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.functions.row_features import number
 from riskspark.operators.contributions import TOP_K, rank_contributions
 from riskspark.operators.contract import assert_protected
 from riskspark.plans.training import FittedModel
@@ -15,7 +17,22 @@ from riskspark.schema import ID, PREDICTION_SCHEMA
 from riskspark.session import write_through
 
 
-def score_models(features: DataFrame, models: dict[str, FittedModel], *, reuse: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class LinearScorer:
+    """A logistic model of fixed coefficients; missing inputs take ``fill``."""
+
+    coefficients: dict[str, float]
+    intercept: float
+    fill: float = 0.0
+
+    def score(self, df: DataFrame) -> DataFrame:
+        z = F.lit(self.intercept)
+        for name, weight in self.coefficients.items():
+            z = z + F.lit(weight) * F.coalesce(number(name), F.lit(self.fill))
+        return df.withColumn("probability", 1.0 / (1.0 + F.exp(-z)))
+
+
+def score_models(features: DataFrame, models: dict[str, FittedModel | LinearScorer], *, reuse: bool = True) -> DataFrame:
     """Long predictions (id, model_identifier, risk_score) of all selected models.
 
     The feature frame is written once and read by every model.
@@ -56,7 +73,7 @@ def score_external_model(
     return features.select(ID, *columns).mapInPandas(run, PREDICTION_SCHEMA)
 
 
-def explain_ablation(rows: DataFrame, fitted: FittedModel, columns: list[str], *, top_k: int = TOP_K) -> DataFrame:
+def explain_ablation(rows: DataFrame, fitted: FittedModel | LinearScorer, columns: list[str], *, top_k: int = TOP_K) -> DataFrame:
     """Score change when one present feature is hidden at a time, largest first.
 
     Each row becomes one variant per present feature (a number fixed by the model), all

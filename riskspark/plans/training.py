@@ -24,6 +24,7 @@ from riskspark.session import write_through
 
 # Training parameters and the small search grid of the boosted model.
 LOGISTIC_C = 0.1
+LOGISTIC_ITERATIONS = 800
 BOOSTED_CANDIDATES = [
     {"name": "balanced_64", "weight_mode": "balanced", "max_depth": 6, "min_rows": 50},
     {"name": "sqrt_96", "weight_mode": "sqrt_balanced", "max_depth": 7, "min_rows": 100},
@@ -72,7 +73,7 @@ def _columns(**more: str) -> dict[str, str]:
             "rawPredictionCol": "_raw", "predictionCol": "_prediction", **more}
 
 
-def train_logistic(train: DataFrame, *, groups: dict | None = None, max_iter: int = 100) -> FittedModel:
+def train_logistic(train: DataFrame, *, groups: dict | None = None, max_iter: int = LOGISTIC_ITERATIONS) -> FittedModel:
     """L2 logistic regression with balanced class weights.
 
     The inverse strength C divides the summed loss; Spark averages the loss, so the same
