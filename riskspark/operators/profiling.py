@@ -51,12 +51,18 @@ def profile_table(df: DataFrame, name: str) -> DataFrame:
     """Shape, missing cells, constant columns and exact duplicate rows of a table."""
     columns = df.columns
     numeric = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    summary = column_summary(df, columns).agg(
-        F.max("rows").alias("rows"),
-        F.count_if(F.col("missing") == F.col("rows")).alias("all_missing"),
-        F.count_if(F.col("distinct_values") <= 1).alias("constant"),
-        F.sum("missing").alias("missing_cells"),
-        F.avg(F.col("missing") / F.col("rows")).alias("missing_rate"),
+    text = lambda c: F.col(c).cast("string")
+    # One pass and one row: a column is constant when its least and greatest text are the same, or it has none.
+    cells = F.array(*[
+        F.struct(F.count(c).alias("present"), F.coalesce(F.min(text(c)) == F.max(text(c)), F.lit(True)).alias("same")) for c in columns
+    ])
+    one = df.agg(F.count(F.lit(1)).alias("rows"), cells.alias("_c"))
+    present = F.aggregate("_c", F.lit(0).cast("bigint"), lambda a, x: a + x["present"])
+    missing = F.col("rows") * F.lit(len(columns)) - present
+    summary = one.select(
+        "rows", F.size(F.filter("_c", lambda x: x["present"] == 0)).cast("bigint").alias("all_missing"),
+        F.size(F.filter("_c", lambda x: x["same"])).cast("bigint").alias("constant"),
+        missing.alias("missing_cells"), F.try_divide(missing, F.col("rows") * F.lit(len(columns))).alias("missing_rate"),
     )
     counted = summary.withColumns({
         "name": F.lit(name), "columns": F.lit(len(columns)), "numeric": F.lit(len(numeric)),

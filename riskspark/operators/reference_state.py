@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.row_features import number, with_v2_row_features
-from riskspark.operators.history import KEY_HISTORIES, KeyHistory, derived_features, distinct_text, source_columns, sum_columns
+from riskspark.operators.history import KEY_HISTORIES, ROW, KeyHistory, derived_features, distinct_text, source_columns, sum_columns
 from riskspark.operators.joins import new_pairs
 from riskspark.schema import ID, TIME
 from riskspark.session import scratch_path, single_row, write_through
@@ -84,17 +84,21 @@ def build(df: DataFrame, specs: list[KeyHistory] | None = None) -> ReferenceStat
 def apply(df: DataFrame, state: ReferenceState) -> DataFrame:
     """Past-only features of new rows from frozen state; absent keys count zero.
 
-    Four left joins on unique keys: small state is broadcast, large state is shuffled and
-    AQE splits the skewed side.
+    Four left joins on unique keys: small state is broadcast, large state is shuffled and AQE splits the skewed side. Only
+    the keys, time and amount go through them; the wide rows are written once with a number and meet their features again by it.
     """
-    rows = with_v2_row_features(df)
+    rows = write_through(with_v2_row_features(df).withColumn(ROW, F.monotonically_increasing_id()), "lookup-rows")
+    looked = rows.select(ROW, *source_columns([KeyHistory(s.key) for s in state.specs], rows.columns))
+    features = []
     for spec in state.specs:
         names = ["n", "last", *_sum_names(spec), *[f"{c}__d" for c in spec.distinct]]
         table = state.keyed[spec.key].select(F.col("key").alias(spec.key), *[F.col(n).alias(f"_s_{n}") for n in names])
         value_of = {n: F.coalesce(F.col(f"_s_{n}"), F.lit(0)) for n in names}
         value_of["last"] = F.col("_s_last")
-        rows = rows.join(table, spec.key, "left").withColumns(derived_features(spec, value_of)).drop(*[f"_s_{n}" for n in names])
-    return rows
+        derived = derived_features(spec, value_of)
+        features += derived
+        looked = looked.join(table, spec.key, "left").withColumns(derived).drop(*[f"_s_{n}" for n in names])
+    return rows.join(looked.select(ROW, *features), ROW).drop(ROW)
 
 
 def cutoff_violations(df: DataFrame, meta: DataFrame) -> DataFrame:
@@ -132,6 +136,8 @@ def delta(df: DataFrame, specs: list[KeyHistory], known_pairs: DataFrame | None,
     fresh = membership(rows, specs) if tracked else None
     if tracked and known_pairs is not None:
         fresh = new_pairs(fresh, known_pairs, PAIR)
+    if tracked:
+        fresh = write_through(fresh, "state-pairs")  # read by the counts and as pairs
     keyed = {}
     for spec in specs:
         table = _key_sums(rows, spec)

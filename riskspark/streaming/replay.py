@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,22 +12,34 @@ from pyspark.sql.streaming import DataStreamWriter
 from riskspark.operators.ordering import sequence_numbers
 from riskspark.session import write_through
 
-# Rows fetched at a time and the allowed replay rates.
-PREFETCH_ROWS = 100
+# The allowed replay rates.
 RATES = (1, 2, 5)
 
 
 def write_replay(df: DataFrame, path: str, *, rows_per_file: int) -> T.StructType:
-    """Write rows in event order, one file per slice, oldest slice first.
+    """Write rows in event order, one file per slice of ``rows_per_file``, in one job.
 
-    The file source reads by modification time, so slices are written one after another.
-    A slice is bounded by ``rows_per_file``.
+    The file source reads by modification time. So when all slices are there, their times are set in order, a
+    millisecond apart and before now: file metadata only, no job per slice.
     """
+    spark = df.sparkSession
     rows = write_through(sequence_numbers(df), "replay")
     last = rows.agg(F.max("sequence_number")).first()[0]
-    for first in range(0, (last if last is not None else -1) + 1, rows_per_file):
-        inside = (F.col("sequence_number") >= first) & (F.col("sequence_number") < first + rows_per_file)
-        rows.where(inside).coalesce(1).write.mode("append").parquet(path)
+    if last is None:
+        return rows.schema
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def files() -> dict[str, object]:
+        return {f.getPath().getName(): f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")} if fs.exists(folder) else {}
+
+    before = files()
+    slice_number = F.floor(F.col("sequence_number") / F.lit(rows_per_file)).cast("int")
+    rows.repartitionById(last // rows_per_file + 1, slice_number).write.mode("append").parquet(path)
+    fresh = sorted((name, place) for name, place in files().items() if name not in before)  # part numbers are slice numbers
+    first = int(time.time() * 1000) - len(fresh)
+    for at, (_, place) in enumerate(fresh):
+        fs.setTimes(place, first + at, -1)
     return rows.schema
 
 
