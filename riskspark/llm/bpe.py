@@ -24,8 +24,10 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from riskspark.llm.common import id_text, slices
 
-#: Entries that a task's memo tables hold before they start afresh; the results don't depend on them.
-MEMO_ENTRIES = 500_000
+#: Entries that a worker's memo tables hold before they start afresh; the results don't depend on them. Several workers share an
+#: executor, and each keeps its tables from task to task.
+MEMO_ENTRIES = 150_000
+EDGE_ENTRIES = 20_000
 MEMO_CHARS = 48
 
 
@@ -89,6 +91,8 @@ class Codec:
                     found = None
                     break
                 data = halves[side]
+            if len(self._edges) >= EDGE_ENTRIES:
+                self._edges.clear()
             self._edges[key] = None if found is None else [(data, until), *reversed(found)]
         return self._edges[key]
 

@@ -29,7 +29,7 @@ from riskspark.session import write_through
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 100_000  # words whose weight a task remembers
 THRESHOLD = 0.3
 
 
