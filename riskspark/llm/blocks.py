@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.session import write_through
+
 #: Members of a chunk, as a mean.
 CAP = 1024
 KEYS = ["key", "i", "j"]
@@ -22,7 +24,8 @@ KEYS = ["key", "i", "j"]
 def in_blocks(entries: DataFrame, member: str, cap: int = CAP) -> DataFrame:
     """``entries`` (key, member, ...) with block numbers ``i <= j`` and ``left`` (in chunk i), dealt and sorted by block."""
     large = entries.groupBy("key").count().where(F.col("count") > cap)
-    parts = large.select("key", F.ceil(F.col("count") / cap).cast("int").alias("parts"))
+    # Written first, so that the planner knows the size: a short list is joined without moving the entries.
+    parts = write_through(large.select("key", F.ceil(F.col("count") / cap).cast("int").alias("parts")), "large-buckets")
     split = entries.join(parts, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     split = split.withColumn("chunk", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
