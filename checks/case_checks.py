@@ -100,6 +100,18 @@ def _actions(spark, sf_dir):
     return done.select("alert_id", "transaction_id", "status", "updated_at", "action_count")
 
 
+@query("alert_action_log", case_sql("""
+select c.alert_id, c.action, c.analyst_identifier, c.created_at, c.action_id,
+  cast(row_number() over w as int) as position,
+  coalesce(last_value(c.status ignore nulls) over (w rows between unbounded preceding and 1 preceding), a.status) as status_before,
+  coalesce(last_value(c.status ignore nulls) over (w rows between unbounded preceding and current row), a.status) as status_after
+from (select *, case action when 'MARKED_LEGITIMATE' then 'LEGITIMATE' when 'NOTE_ADDED' then null else action end as status from actions) c join alerts a using (alert_id)
+window w as (partition by c.alert_id order by c.created_at, c.action_id)"""))
+def _action_log(spark, sf_dir):
+    found = cases.alert_action_log(demo.alerts(spark, sf_dir), demo.actions(spark, sf_dir))
+    return found.select("alert_id", "action", "analyst_identifier", "created_at", "action_id", "position", "status_before", "status_after")
+
+
 def listed(array, *parts):
     """A nested list as one text, the same in both engines."""
     return F.array_join(F.transform(array, lambda x: F.concat_ws(":", *[p(x).cast("string") for p in parts])), ";")

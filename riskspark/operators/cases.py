@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.operators.ordering import exact_quantiles
@@ -174,8 +174,17 @@ def alert_detail(
     )
 
 
-def alert_action_log(actions: DataFrame, alert_id: str) -> DataFrame:
-    return actions.where(F.col("alert_id") == alert_id).orderBy("created_at", "action_id")
+def alert_action_log(alerts: DataFrame, actions: DataFrame) -> DataFrame:
+    """Audit rows: every action of every alert in order, with the status before and after it."""
+    order = Window.partitionBy("alert_id").orderBy("created_at", "action_id")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    mapped = actions.withColumn("_status", lookup(STATUS_BY_ACTION, F.col("action"))).withColumns({
+        "position": F.row_number().over(order),
+        "_before": F.last("_status", ignorenulls=True).over(before), "_after": F.last("_status", ignorenulls=True).over(upto),
+    })
+    first = alerts.select("alert_id", F.col("status").alias("_first"))
+    return mapped.join(first, "alert_id").select(
+        *actions.columns, "position", F.coalesce("_before", "_first").alias("status_before"), F.coalesce("_after", "_first").alias("status_after"))
 
 
 def nested_runs(runs: DataFrame, transactions: DataFrame, predictions: DataFrame, *, page_rows: int = PAGE_ROWS) -> DataFrame:
