@@ -230,6 +230,16 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def _encoded_rows(coder: Codec, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids) of a list of texts."""
+    found = [coder.encoded(t) for t in texts]
+    return np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32), np.frombuffer(b"".join(found), np.int32)
+
+
+def _decoded_rows(coder: Codec, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.array([coder.decoded(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids of each whole text; special tokens' strings are ordinary text."""
     narrow = id_text(df, id_col, text_col)
@@ -238,26 +248,37 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for part in slices(batches):
-            found = [coder.encoded(t) for t in part.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+            offsets, ids = _encoded_rows(coder, part.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], names=["doc_id", "ids"])
 
     return narrow.mapInArrow(run, out)
 
 
-def decode(df: DataFrame, path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, *keep, data): the bytes that ``ids`` stand for; null ids count as none."""
-    names = ["doc_id", *(keep or [])]
-    packed = df.select(*names, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    out = StructType([packed.schema[n] for n in names] + [StructField("data", BinaryType())])
+def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, data): the bytes that ``ids`` stand for; null ids count as none."""
+    packed = df.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    out = StructType([packed.schema["doc_id"], StructField("data", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, pattern)
         for part in slices(batches):
-            lists = part.column(len(names))
-            offsets, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-            data = pa.array([coder.decoded(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], data], names=[*names, "data"])
+            lists = part.column(1)
+            data = _decoded_rows(coder, lists.offsets.to_numpy(), lists.values.to_numpy())
+            yield pa.RecordBatch.from_arrays([part.column(0), data], names=["doc_id", "data"])
 
     return packed.mapInArrow(run, out)
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, data): the ids of each text and the bytes that these ids decode to, with one worker a task for both."""
+    narrow = id_text(df, id_col, text_col)
+    out = StructType([narrow.schema["doc_id"], StructField("ids", ArrayType(IntegerType())), StructField("data", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(path, pattern)
+        for part in slices(batches):
+            offsets, ids = _encoded_rows(coder, part.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, _decoded_rows(coder, offsets, ids)], names=["doc_id", "ids", "data"])
+
+    return narrow.mapInArrow(run, out)

@@ -33,13 +33,11 @@ def spans_line(spans: Column) -> Column:
 
 @query
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BPE_FILE)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    digests = ids.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), "ids"
+    done = bpe.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
     )
-    decoded = bpe.decode(digests, path, public_tokenizers.PATTERN, keep=["n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
 
 
 @query
