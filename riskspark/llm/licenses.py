@@ -1,6 +1,7 @@
 """License scans by ordered signature rules.
 
-A keyword automaton runs over the text first; only rules with a keyword in it are tried. Detections are taken by priority
+A keyword automaton runs over the text first; only rules with a keyword in it are tried, and the keywords are read off each rule's own regex, so
+that the gate loses nothing. Detections are taken by priority
 (then length, place, rule order); one that lies inside an interval already taken is suppressed, so "GPL version 3"
 leaves no bare "GPL" behind. Three base phrases are found on words besides and always stay.
 
@@ -53,16 +54,20 @@ class Scanner:
         for number, rule in enumerate(table):
             for keyword in rule.keywords:
                 behind.setdefault(keyword, []).append(number)
+        self.always = {number for number, rule in enumerate(table) if not rule.keywords}
         for keyword, numbers in behind.items():
             self.gate.add_word(keyword, numbers)
         self.gate.make_automaton()
 
+    def tried(self, lowered: str) -> set[int]:
+        """Numbers of the rules that the gate lets through."""
+        return self.always.union(*(numbers for _, numbers in self.gate.iter(lowered)))
+
     def detect(self, text: str) -> list[Detection]:
         """(start, end, label, confidence) by start, after suppression; code points, end exclusive."""
         lowered = text.encode().translate(_LOWER).decode()  # keeps every position, unlike full lower-casing
-        tried = {number for _, numbers in self.gate.iter(lowered) for number in numbers}
         raw = []
-        for number in tried:
+        for number in self.tried(lowered):
             rule = self.rules[number]
             group = "extent" if "extent" in rule.regex.groupindex else 0
             raw += [(-rule.priority, m.start(group) - m.end(group), m.start(group), number) for m in rule.regex.finditer(lowered)]
