@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import bpe, chat, decontam, itq, langid, licenses, packing, secrets, simhash, toxicity
+from riskspark.llm import bpe, chat, decontam, fim, itq, langid, lexical, licenses, packing, quality, secrets, simhash, toxicity
 from riskspark.llm.common import held_out
+from riskspark.session import write_through
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,3 +165,68 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical"] = r"""
+with said as (
+    select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents
+),
+sizes as (select doc_id, count(*)::bigint as n from said group by doc_id),
+totals as (select count(*)::bigint as docs, sum(n)::bigint as terms from sizes),
+norms as (select doc_id, 25 + (75 * n * docs) // terms as m from sizes, totals),
+counts as (select doc_id, term, count(*)::bigint as tf from said group by doc_id, term),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from counts, totals group by term, docs),
+wanted as (
+    select item_id, term, count(*)::bigint as times from (
+        select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark
+    ) group by item_id, term
+),
+scored as (
+    select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+    from wanted join weights using (term) join counts using (term) join norms using (doc_id) group by item_id, doc_id
+),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
+
+
+@query
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = write_through(fim.store(table(spark, sf_dir, "documents")), "fim-frames")
+    return fim.digests(fim.transform(stored)).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+ORACLES["op13_fim"] = r"""
+with given as (
+    select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(doc_id::varchar, '')) as hex,
+        regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as lines from documents
+),
+drawn as (
+    select *, len(lines)::bigint as n, ('0x' || hex[1:8])::bigint as h1, ('0x' || hex[9:16])::bigint as h2,
+        ('0x' || hex[17:24])::bigint as h3, ('0x' || hex[25:32])::bigint as h4 from given
+),
+placed as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 100 then 'plain'
+            when h4 % 100 < 50 then 'spm' else 'psm' end as form from drawn
+),
+parts as (
+    select *, array_to_string(lines[1:a], '') as prefix, array_to_string(lines[a + 1:b], '') as middle, array_to_string(lines[b + 1:n], '') as suffix from placed
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from parts
+"""
