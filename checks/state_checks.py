@@ -10,6 +10,8 @@ from riskspark.functions import stats
 from riskspark.functions.row_features import with_v2_row_features
 from riskspark.operators import history
 from riskspark.operators import reference_state as ref
+from riskspark.operators.bucketed_state import BucketedState
+from riskspark.session import scratch_path
 from riskspark.sources.demo_tables import txn
 
 CUT = 86_400 * 20
@@ -116,13 +118,29 @@ def _lookup(spark, sf_dir):
     return found.select("TransactionID", "card1_key_prior_count", "card1_key_seconds_since_previous")
 
 
-@query("ref_merge", txn_sql(state_rows(), KEYED, before(NEXT), *map(state_cte, KEYS)))
+MERGE_SQL = txn_sql(state_rows(), KEYED, before(NEXT), *map(state_cte, KEYS))
+
+
+@query("ref_merge", MERGE_SQL)
 def _merge(spark, sf_dir):
     rows = txn(spark, sf_dir)
     state = ref.build(rows.where(f"TransactionDT < {CUT}"))
     return long_state(ref.merge(state, rows.where(f"TransactionDT >= {CUT} and TransactionDT < {NEXT}")))
 
 
+@query("ref_merge_buckets", MERGE_SQL)
+def _merge_buckets(spark, sf_dir):
+    """Two later batches enter bucketed state, the second by a compaction of the buckets that they touch."""
+    rows = txn(spark, sf_dir)
+    state = ref.build(rows.where(f"TransactionDT < {CUT}"))
+    store = BucketedState(spark, scratch_path(spark, "buckets"), state.specs, compact_every=1)
+    store.create(state)
+    ends = [CUT, CUT + 3 * 86_400, NEXT]
+    for batch, (low, high) in enumerate(zip(ends, ends[1:])):
+        store.merge(batch, rows.where(f"TransactionDT >= {low} and TransactionDT < {high}"))
+    return long_state(store.whole(len(ends) - 1))
+
+
 @query("ref_cutoff_guard", txn_sql(f"""
 select count(*) as rows, count(*) filter (where (e.dt, e.id) >= (t.TransactionDT, t.TransactionID)) as overlapping_rows, true as state_usable
 from txn t, (select max(TransactionDT) as dt, arg_max(TransactionID, (TransactionDT, TransactionID)) as id from txn where TransactionDT < {CUT}) e where t.TransactionDT >= {CUT - 86400}"""))

@@ -6,6 +6,7 @@ behind the distinct counts, and one row of metadata. Sums merge exactly in any o
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -145,16 +146,21 @@ def delta(df: DataFrame, specs: list[KeyHistory], known_pairs: DataFrame | None,
     return ReferenceState(keyed, fresh, _metadata(rows), specs)
 
 
+def stacked(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def combined_meta(metas: list[DataFrame]) -> DataFrame:
+    """Latest end of history and total of rows; parts that read the label or follow another version stay apart."""
+    end = F.max(F.struct("history_end_transaction_dt", "history_end_transaction_id"))
+    meta = stacked(metas).groupBy("version", "history_rule", "uses_target").agg(end.alias("_e"), F.sum("history_row_count").alias("history_row_count"))
+    return meta.select("version", "history_rule", "uses_target", "_e.*", "history_row_count")
+
+
 def combine(states: list[ReferenceState]) -> ReferenceState:
     """Add up disjoint states: sums per key, union of pairs, latest end of history."""
     first = states[0]
 
-    def stacked(tables: list[DataFrame]) -> DataFrame:
-        result = tables[0]
-        for table in tables[1:]:
-            result = result.unionByName(table)
-        return result
-
     keyed = {}
     for spec in first.specs:
         tables = [s.keyed[spec.key] for s in states]
@@ -162,10 +168,7 @@ def combine(states: list[ReferenceState]) -> ReferenceState:
         sums = [F.sum(n).cast(old.schema[n].dataType).alias(n) for n in ["n", *_sum_names(spec)]]
         sums += [F.coalesce(F.sum(f"{c}__d"), F.lit(0)).alias(f"{c}__d") for c in spec.distinct]
         keyed[spec.key] = stacked(tables).groupBy("key").agg(F.max("last").alias("last"), *sums).select(*old.columns)
-    end = F.max(F.struct("history_end_transaction_dt", "history_end_transaction_id"))
-    meta = stacked([s.meta for s in states]).groupBy("version", "history_rule", "uses_target").agg(
-        end.alias("_e"), F.sum("history_row_count").alias("history_row_count"))
-    meta = meta.select("version", "history_rule", "uses_target", "_e.*", "history_row_count")
+    meta = combined_meta([s.meta for s in states])
     pairs = stacked([s.pairs for s in states]) if first.pairs is not None else None
     return ReferenceState(keyed, pairs, meta, first.specs)
 

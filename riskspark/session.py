@@ -5,9 +5,12 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +52,13 @@ def write_through(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(spark: SparkSession, jobs: list[Callable[[], object]]) -> None:
+    """Run independent small jobs side by side, since planning them takes longer than their work; the first failure is raised.
+
+    Threads inherit the caller's job group, so stopping a stream cancels them too.
+    """
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()

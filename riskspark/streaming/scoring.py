@@ -1,15 +1,17 @@
 """Score an ordered stream against state that is updated after each batch.
 
 Within a batch every row sees the stored state plus the earlier rows of its own batch,
-which equals scoring and updating row by row. All outputs of batch N go to folders named
-after N and are overwritten when N is retried; batch N reads only what earlier batches
-wrote, so a retry gives the same result.
+which equals scoring and updating row by row. The state lies in hash buckets, of which
+a batch reads its own. All outputs of batch N go to folders named after N and are
+overwritten when N is retried; batch N reads only what earlier batches wrote, so a
+retry gives the same result (but for the times in ``events``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +20,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskspark.functions.row_features import number, with_v2_row_features
 from riskspark.operators import reference_state as ref
-from riskspark.operators.cases import apply_threshold, derive_alerts
+from riskspark.operators.bucketed_state import BucketedState
+from riskspark.operators.cases import apply_threshold, derive_alerts, stream_metrics
 from riskspark.operators.contract import DUPLICATE_CODE, DUPLICATE_TEXT, INVALID_CODE, OVERLAP_TEXT, validate_rows
 from riskspark.operators.history import KEY_HISTORIES, KeyHistory, KnownState, with_history
 from riskspark.operators.ordering import event_order, max_of_earlier
 from riskspark.schema import AMOUNT, ID, TIME
-from riskspark.session import single_row, write_through
-from riskspark.streaming.replay import paced, read_replay
+from riskspark.session import at_once, single_row, write_through
+from riskspark.streaming.replay import FETCH_ROWS, paced, read_replay
 
 Scorer = Callable[[DataFrame], DataFrame]
-SEED_BATCH = -1
+ARRIVAL = "_arrival_time"  # when the row's micro-batch was fetched
 
 
 @dataclass
@@ -42,33 +45,21 @@ class StreamJob:
     labels: DataFrame | None = None
     sequence: str = "sequence_number"
     compact_every: int = 8
+    buckets: int = 64
+    run_id: str = "run"
 
-    # --- state: a compacted base plus one small delta per batch ---
+    # --- state ---
 
-    def _folder(self, kind: str, batch: int) -> str:
-        return f"{self.out_dir}/state/{kind}/batch={batch}"
+    @property
+    def state(self) -> BucketedState:
+        return BucketedState(self.spark, f"{self.out_dir}/state", self.specs, self.buckets, self.compact_every)
 
     def seed(self, schema: T.StructType, history: DataFrame | None = None) -> None:
         """Write the state the first batch starts from; empty without ``history``."""
         rows = history if history is not None else self.spark.createDataFrame([], schema)
         columns = with_v2_row_features(rows).columns
         self.specs = [s.present(columns) for s in self.specs]
-        ref.save(ref.delta(rows, self.specs, None), self._folder("base", SEED_BATCH))
-
-    def state_before(self, batch: int) -> ref.ReferenceState:
-        """State after all batches before ``batch``; folder names follow from the number."""
-        last_base = ((batch - 1) // self.compact_every) * self.compact_every if batch >= 1 else SEED_BATCH
-        if last_base == 0:
-            last_base = SEED_BATCH
-        parts = [ref.load(self.spark, self._folder("base", last_base), self.specs)]
-        parts += [ref.load(self.spark, self._folder("delta", b), self.specs) for b in range(last_base + 1, batch)]
-        return ref.combine(parts) if len(parts) > 1 else parts[0]
-
-    def _store(self, batch: int, state: ref.ReferenceState, accepted: DataFrame) -> None:
-        ref.save(ref.delta(accepted, self.specs, state.pairs, reuse=False), self._folder("delta", batch))
-        if batch > 0 and batch % self.compact_every == 0:
-            added = ref.load(self.spark, self._folder("delta", batch), self.specs)
-            ref.save(ref.combine([state, added]), self._folder("base", batch))
+        self.state.create(ref.delta(rows, self.specs, None))
 
     # --- one batch ---
 
@@ -99,27 +90,39 @@ class StreamJob:
         return once.unionByName(copies)
 
     def process(self, batch_rows: DataFrame, batch: int) -> None:
-        state = self.state_before(batch)
-        judged = write_through(self.judge(batch_rows, state.meta), "stream-batch")
-        accepted = judged.where("error_code is null").drop("error_code", "error_message")
+        started = datetime.now(UTC)
+        store = self.state
+        judged = write_through(self.judge(batch_rows, store.meta(batch)), "stream-batch")
+        accepted = judged.where("error_code is null").drop("error_code", "error_message", ARRIVAL)
         refused = judged.where("error_code is not null")
-        known = KnownState(state.keyed, state.pairs)
-        self._write(with_history(with_v2_row_features(accepted), self.specs, known=known), "features", batch)
-        features = self.spark.read.parquet(self._output("features", batch))
+        featured = with_v2_row_features(accepted)
+        state = store.before(batch, featured)  # only the buckets of these rows
+        features = self._write(with_history(featured, self.specs, known=KnownState(state.keyed, state.pairs)), "features", batch)
         decided = apply_threshold(self.scorer(features), self.thresholds)
         context = features.select(ID, self.sequence, F.col(AMOUNT).alias("amount"))
         predictions = decided.join(context, ID)
         if self.labels is not None:  # labels meet predictions only here, after scoring
             predictions = predictions.join(self.labels, ID, "left")
-        self._write(predictions, "predictions", batch)
-        stored = self.spark.read.parquet(self._output("predictions", batch))
-        self._write(derive_alerts(stored, [ID]), "alerts", batch)
-        self._write(refused.select(ID, TIME, self.sequence, "error_code", "error_message"), "dead_letters", batch)
-        self._write(self._counters(judged, batch), "counters", batch)
-        self._store(batch, state, accepted)
-
-    def _counters(self, judged: DataFrame, batch: int) -> DataFrame:
-        alerts = self.spark.read.parquet(self._output("alerts", batch))
+
+        def results() -> None:
+            stored = self._write(predictions, "predictions", batch)
+            alerts = self._write(derive_alerts(stored, [ID]), "alerts", batch)
+            self._write(self._counters(judged, alerts), "counters", batch)
+
+        dead = refused.select(ID, TIME, self.sequence, "error_code", "error_message")
+        at_once(self.spark, [results, lambda: self._write(dead, "dead_letters", batch), lambda: store.append(batch, accepted, state)])
+        self._write(self._events(judged, started), "events", batch)
+
+    def _events(self, judged: DataFrame, started: datetime) -> DataFrame:
+        """The life of each row in epoch seconds: when its batch was fetched, begun and done, and how it ended."""
+        begun, now = F.lit(started.timestamp()), F.lit(datetime.now(UTC).timestamp())
+        arrival = F.unix_micros(F.col(ARRIVAL)) / F.lit(1e6) if ARRIVAL in judged.columns else begun
+        status = F.when(F.col("error_code").isNull(), F.lit("COMPLETED")).otherwise(F.lit("FAILED"))
+        return judged.select(
+            F.lit(self.run_id).alias("run_id"), self.sequence, ID, arrival.alias("arrival_time"), begun.alias("processing_started_at"),
+            now.alias("completed_at"), status.alias("status"), "error_code")
+
+    def _counters(self, judged: DataFrame, alerts: DataFrame) -> DataFrame:
         rows = judged.agg(
             F.count(F.lit(1)).alias("received_count"), F.count_if(F.col("error_code").isNull()).alias("processed_count"),
             F.count_if(F.col("error_code").isNotNull()).alias("failed_count"), F.max(self.sequence).alias("current_sequence"))
@@ -131,16 +134,17 @@ class StreamJob:
     def _output(self, name: str, batch: int) -> str:
         return f"{self.out_dir}/{name}/batch={batch}"
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+    def _write(self, df: DataFrame, name: str, batch: int) -> DataFrame:
         df.write.mode("overwrite").parquet(self._output(name, batch))
+        return self.spark.read.schema(df.schema).parquet(self._output(name, batch))
 
     # --- the query ---
 
-    def start(self, in_dir: str, schema: T.StructType, checkpoint: str, *, rate: int | None = None, rows_per_file: int = 1) -> StreamingQuery:
+    def start(self, in_dir: str, schema: T.StructType, checkpoint: str, *, rate: int | None = None, rows_per_trigger: int = FETCH_ROWS) -> StreamingQuery:
         """Start or resume. A stop finishes the running batch; the checkpoint continues after it."""
-        source = read_replay(self.spark, in_dir, schema)
+        source = read_replay(self.spark, in_dir, schema, rows_per_trigger=rows_per_trigger).withColumn(ARRIVAL, F.current_timestamp())
         writer = source.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
-        return paced(writer, rows_per_file=rows_per_file, rate=rate).start()
+        return paced(writer, rows_per_trigger=rows_per_trigger, rate=rate).start()
 
     def output(self, name: str) -> DataFrame:
         """All batches of one output table, with their batch number."""
@@ -151,3 +155,6 @@ class StreamJob:
             *[F.sum(c).alias(c) for c in ("received_count", "processed_count", "failed_count", "fraud_count")],
             F.round(F.sum("suspicious_value"), 2).alias("suspicious_value"), F.max("current_sequence").alias("current_sequence"))
 
+    def metrics(self) -> DataFrame:
+        """Counters, throughput and latencies from the job's own events and alerts."""
+        return stream_metrics(self.output("events"), self.output("alerts").withColumn("run_id", F.lit(self.run_id)))

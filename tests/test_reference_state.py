@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark.operators import history as h
 from riskspark.operators import reference_state as ref
+from riskspark.operators.bucketed_state import BucketedState
 from tests.conftest import rows
 from tests.fixtures import HISTORY_SCHEMA, history
 from tests.test_history import by_id, generated
@@ -72,3 +73,21 @@ def test_guards(spark):
         ref.require_after_cutoff(df.where("TransactionID = 15"), state.meta.withColumn("uses_target", F.lit(True)))
     with pytest.raises(ValueError, match="cannot be empty"):
         ref.build(df.limit(0))
+
+
+def test_bucketed_merge_equals_one_build(spark, tmp_path):
+    df = spark.createDataFrame(generated(120, seed=9), HISTORY_SCHEMA)
+    times = sorted(r["TransactionDT"] for r in df.select("TransactionDT").collect())
+    cuts = [0, times[50] + 1, times[80] + 1, times[100] + 1, 10**9]
+    part = [df.where(F.col("TransactionDT").between(a, b - 1)) for a, b in zip(cuts, cuts[1:])]
+    store = BucketedState(spark, str(tmp_path), ref.build(part[0]).specs, buckets=8, compact_every=1)
+    store.create(ref.build(part[0]))
+    for batch, rows_ in enumerate(part[1:]):
+        store.merge(batch, rows_)
+    merged, whole = store.whole(3), ref.build(df)
+    for spec in whole.specs:
+        columns = whole.keyed[spec.key].columns
+        assert rows(merged.keyed[spec.key].select(*columns), "key") == rows(whole.keyed[spec.key], "key")
+    assert rows(merged.pairs, "column", "key", "value") == rows(whole.pairs, "column", "key", "value")
+    with pytest.raises(ValueError, match="overlaps"):
+        store.merge(3, part[1])
