@@ -10,7 +10,7 @@ from riskspark.operators import reference_state, sampling
 from riskspark.operators.evaluation import cv_summary
 from riskspark.operators.history import KeyHistory, with_history
 from riskspark.functions.row_features import with_v2_row_features
-from riskspark.plans import batch, scoring, training
+from riskspark.plans import batch, scoring, staged, training
 from riskspark.session import write_through
 from riskspark.sources.demo_tables import txn
 
@@ -64,7 +64,7 @@ def _logistic(spark, sf_dir):
 @query("train_boosted", facts_sql("boosted"))
 def _boosted(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    return facts(training.train_boosted(split(rows, "train"), split(rows, "validation"), groups=GROUPS), rows, "boosted")
+    return facts(staged.train_staged(split(rows, "train"), split(rows, "validation"), groups=GROUPS, max_iter=20), rows, "boosted")
 
 
 @query("train_network", facts_sql("network"))
@@ -77,7 +77,7 @@ def _network(spark, sf_dir):
 def _folds(spark, sf_dir):
     rows = prepared(spark, sf_dir)
     development = rows.where("split <> 'test'").drop("split")
-    return cv_summary(training.search_folds(development, groups=GROUPS))
+    return cv_summary(staged.fold_results(staged.staged_folds(development, groups=GROUPS, max_iter=10)))
 
 
 @query("search_weight_mode")

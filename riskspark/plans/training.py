@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 from riskspark.operators import encoders, evaluation
 from riskspark.operators.contract import assert_protected
 from riskspark.operators.profiling import infer_feature_groups, positive_weight
-from riskspark.operators.sampling import split_expanding_folds
 from riskspark.schema import ID, LABEL
-from riskspark.session import write_through
 
 # Training parameters and the small search grid of the boosted model.
 LOGISTIC_C = 0.1
@@ -135,21 +133,6 @@ def average_precision(scored: DataFrame) -> float:
     return float(value or 0.0)
 
 
-def search_folds(development: DataFrame, *, groups: dict, candidates: list[dict] | None = None, max_iter: int = 10) -> DataFrame:
-    """Average precision of every candidate on three expanding folds, encoders refitted per fold."""
-    folded = write_through(split_expanding_folds(development), "folds")
-    results = []
-    for fold in (1, 2, 3):
-        rows = folded.where(F.col("fold") == fold)
-        train, valid = (rows.where(F.col("role") == role).drop("fold", "role") for role in ("train", "validation"))
-        state = fit_state(train, groups)
-        for c in candidates or BOOSTED_CANDIDATES:
-            fitted = train_boosted(train, valid, weight_mode=c["weight_mode"], max_depth=c["max_depth"],
-                                   min_rows=c["min_rows"], max_iter=max_iter, state=state)
-            results.append((c["name"], fold, average_precision(fitted.score(valid))))
-    return development.sparkSession.createDataFrame(results, "name string, fold int, validation_pr_auc double")
-
-
 def search_weight_mode(train: DataFrame, valid: DataFrame, *, groups: dict, max_iter: int = 40) -> DataFrame:
     """Square-root or full class weight for the network, by validation average precision."""
     state = fit_state(train, groups)
@@ -182,7 +165,7 @@ def save_model(fitted: FittedModel, path: str) -> None:
     fitted.model.write().overwrite().save(f"{path}/model")
     fitted.state["levels"].write.mode("overwrite").parquet(f"{path}/levels")
     numbers = {k: v for k, v in fitted.state.items() if k != "levels"}
-    record = {"identifier": fitted.identifier, "features": fitted.features, "state": numbers, "class": type(fitted.model).__name__}
+    record = {"identifier": fitted.identifier, "features": fitted.features, "rounds": getattr(fitted, "rounds", None), "state": numbers, "class": type(fitted.model).__name__}
     spark.createDataFrame([(json.dumps(record),)], "record string").coalesce(1).write.mode("overwrite").text(f"{path}/record")
 
 
