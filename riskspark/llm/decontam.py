@@ -3,8 +3,10 @@
 An item of L words is found in a document where some window of L words (the whole text if it is shorter) can be turned into it
 by at most floor((1 - similarity) L) insertions, deletions and replacements of words. The CGK walk reads a window with a random
 step per (position, word), so that few edits become few differing positions of the walk; each repetition samples positions
-of its own walk and windows whose samples equal an item's are candidates. The number of repetitions is the least that reaches
-the target recall on randomly edited items. Candidates are verified by their exact edit distance.
+of its own walk and windows whose samples equal an item's are candidates. The number of repetitions is chosen for each item length: the least
+that reaches the target recall on items of that length with as many random edits as are allowed, and half as many again. A length that
+would need more than ``most_repetitions`` is searched exactly instead: its candidates are the items that share as many word pairs with the window as
+the allowed edits must leave. Candidates are verified by their exact edit distance.
 
 Before the walk, windows are dropped that cannot be within the bound: k edits destroy at most k words and 2 k pairs of neighbouring
 words of an item, so a window needs L - k known words and all but 2 k of the different pairs that items of its length have. This drops no answer, at
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -42,9 +44,9 @@ class Setting:
     similarity: float = SIMILARITY
     samples: int = 4  # positions sampled in a repetition
     recall: float = 0.99  # to reach on edited items
-    most_repetitions: int = 160
-    trial_items: int = 24
-    trials: int = 8  # edited copies of each
+    most_repetitions: int = 160  # a length that needs more is searched exactly
+    trial_items: int = 8  # of a length, spread over its items
+    trials: int = 32  # edited copies of each
     seed: int = 1
 
 
@@ -79,11 +81,12 @@ class Walks:
 
     def __init__(self, length: int, repetitions: int, samples: int, seed: int):
         self.length = length
-        rng = np.random.default_rng([seed, length])
         reach = max(1, 7 * length // 4)  # a walk moves on at every second step, so it hasn't left the window by then
-        self.salts = rng.integers(1, 2**63, (reach, repetitions), np.uint64)
+        self.salts = np.zeros((reach, repetitions), np.uint64)
         self.sampled = np.zeros((reach, repetitions), bool)
-        for r in range(repetitions):
+        for r in range(repetitions):  # the same walks whatever their number
+            rng = np.random.default_rng([seed, length, r])
+            self.salts[:, r] = rng.integers(1, 2**63, reach, np.uint64)
             self.sampled[rng.permutation(reach)[:samples], r] = True
         self.steps = int(np.flatnonzero(self.sampled.any(1))[-1]) + 1
 
@@ -107,7 +110,7 @@ class Walks:
 class Index:
     """The items' words, pair filter and LSH keys; built on each executor from the items' texts."""
 
-    def __init__(self, items: list[tuple[int, str]], repetitions: int, setting: Setting):
+    def __init__(self, items: list[tuple[int, str]], repetitions: dict[int, int | None], setting: Setting):
         self.setting = setting
         found = [(item, words_of(text)) for item, text in items]
         self.numbers: dict[bytes, int] = {}
@@ -126,15 +129,38 @@ class Index:
                 places = np.unique(self._pairs(np.array(numbers, np.int64)))
                 self.filter[places] |= self.bit[n]
                 self.pairs_of[n] = min(self.pairs_of.get(n, n), len(places))
-        self.walks = {n: Walks(n, repetitions, setting.samples, setting.seed) for n in self.lengths}
+        self.walks = {n: Walks(n, repetitions[n], setting.samples, setting.seed) for n in self.lengths if repetitions[n]}
         self.keys: dict[int, list[dict[int, list[int]]]] = {}
-        for n in self.lengths:
-            keys = self.walks[n].keys(np.array([w for _, w in self.items[n]], np.int64))
-            by_repetition: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(repetitions)]
+        for n, walks in self.walks.items():
+            keys = walks.keys(np.array([w for _, w in self.items[n]], np.int64))
+            by_repetition: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(repetitions[n])]
             for number, row in enumerate(keys.tolist()):
                 for r, key in enumerate(row):
                     by_repetition[r][key].append(number)
             self.keys[n] = by_repetition
+        # Lengths searched exactly: items by place of a pair, and how many different places each item has.
+        self.holders: dict[int, dict[int, list[int]]] = {}
+        self.places: dict[int, list[int]] = {}
+        for n in self.lengths:
+            if n not in self.walks:
+                self.holders[n], self.places[n] = defaultdict(list), []
+                for number, (_, numbers) in enumerate(self.items[n]):
+                    places = np.unique(self._pairs(np.array(numbers, np.int64))).tolist()
+                    self.places[n].append(len(places))
+                    for place in places:
+                        self.holders[n][place].append(number)
+
+    def _candidates(self, n: int, windows: np.ndarray) -> Iterator[set[int]]:
+        """For each window the items of length n that are to be compared with it."""
+        if n in self.walks:
+            for row in self.walks[n].keys(windows).tolist():
+                yield {i for r, key in enumerate(row) for i in self.keys[n][r].get(key, ())}
+            return
+        k = self._edits(n)
+        always = {i for i, places in enumerate(self.places[n]) if places - 2 * k <= 0}
+        for pairs in self._pairs(windows).tolist():
+            shared = Counter(i for place in set(pairs) for i in self.holders[n].get(place, ()))
+            yield always | {i for i, count in shared.items() if count >= self.places[n][i] - 2 * k}
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item, first word, words, distance): an item's closest window, the first among equals."""
@@ -178,9 +204,7 @@ class Index:
     def _verify(self, n: int, k: int, flat: np.ndarray, at: np.ndarray, owner: np.ndarray, place: np.ndarray, sizes: np.ndarray, best: list) -> None:
         windows = flat[at[:, None] + np.arange(n)]
         windows[np.arange(n)[None, :] >= (sizes[owner] - place)[:, None]] = -1  # past the end of a short text
-        keys = self.walks[n].keys(windows).tolist()
-        for row, text, start, words in zip(keys, owner.tolist(), place.tolist(), windows.tolist()):
-            candidates = {i for r, key in enumerate(row) for i in self.keys[n][r].get(key, ())}
+        for candidates, text, start, words in zip(self._candidates(n, windows), owner.tolist(), place.tolist(), windows.tolist()):
             size = min(n, int(sizes[text]) - start)
             for number in candidates:
                 item, wanted = self.items[n][number]
@@ -218,24 +242,33 @@ def edited(words: list[int], edits: int, rng: random.Random) -> list[int]:
     return (out + [-1000 - n for n in range(len(words))])[: len(words)]
 
 
-def repetitions_needed(items: list[str], setting: Setting) -> tuple[int, float]:
-    """(repetitions, recall) on edited copies of a few items: the least number that reaches the recall asked for, or the most allowed."""
-    rng = random.Random(setting.seed)
+def repetitions_needed(items: list[str], setting: Setting) -> dict[int, int | None]:
+    """Repetitions for each item length, or None where it is to be searched exactly.
+
+    Trials are edited copies of items of the length, spread over all of them; walks are added until the target recall is reached.
+    """
+    by_length: dict[int, list[list[int]]] = defaultdict(list)
     numbers: dict[bytes, int] = {}
-    hits = []
-    for text in items[: setting.trial_items]:
-        words = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
-        k = edits_allowed(len(words), setting.similarity)
-        trials = [t for _ in range(setting.trials * bool(words)) if edit_distance(words, t := edited(words, k, rng), k) <= k]
-        if not trials:
-            continue
-        keys = Walks(len(words), setting.most_repetitions, setting.samples, setting.seed).keys(np.array([words, *trials], np.int64))
-        hits.append(keys[1:] == keys[:1])
-    if not hits:
-        return 1, 1.0
-    reached = np.maximum.accumulate(np.concatenate(hits), axis=1).mean(0)
+    for text in items:
+        words = words_of(text)
+        by_length[len(words)].append([numbers.setdefault(w, len(numbers) + 1) for w in words])
+    return {n: _repetitions(held, setting) for n, held in by_length.items() if n}
+
+
+def _repetitions(items: list[list[int]], setting: Setting) -> int | None:
+    n = len(items[0])
+    k = edits_allowed(n, setting.similarity)
+    rng = random.Random(setting.seed)
+    chosen = items[:: max(1, len(items) // setting.trial_items)][: setting.trial_items]
+    trials = [(words, t) for words in chosen for _ in range(setting.trials) if edit_distance(words, t := edited(words, k, rng), k) <= k]
+    if not k or not trials:
+        return 1
+    walks = Walks(n, setting.most_repetitions, setting.samples, setting.seed)
+    same = walks.keys(np.array([w for w, _ in trials], np.int64)) == walks.keys(np.array([t for _, t in trials], np.int64))
+    reached = np.maximum.accumulate(same, axis=1).mean(0)
     needed = int(np.searchsorted(reached, setting.recall)) + 1
-    return (needed, float(reached[needed - 1])) if needed <= len(reached) else (len(reached), float(reached[-1]))
+    needed += needed // 2
+    return needed if needed <= setting.most_repetitions else None
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -257,7 +290,7 @@ def find(
     kind = pa.list_(pa.struct([("item_id", pa.int64()), *[(n, pa.int32()) for n in names[1:]]]))
 
     def one_pass(items: list[tuple[int, str]]) -> DataFrame:
-        repetitions, _ = repetitions_needed([text for _, text in items], setting)
+        repetitions = repetitions_needed([text for _, text in items], setting)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, repetitions, setting)
@@ -279,7 +312,7 @@ def clean(df: DataFrame, benchmark: DataFrame, setting: Setting = Setting(), tex
     """The rows, with all their columns, in which no item is found."""
 
     def one_pass(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        repetitions, _ = repetitions_needed([text for _, text in items], setting)
+        repetitions = repetitions_needed([text for _, text in items], setting)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, repetitions, setting)

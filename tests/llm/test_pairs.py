@@ -226,11 +226,39 @@ def test_benchmark_in_several_blocks(spark, monkeypatch):
     assert decontam.clean(docs, bench).count() == 0
 
 
-def test_repetitions_reach_the_recall():
+def filler(rng, n):
+    return [f"f{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_recall_of_every_length():
+    """Items of each length with as many edits as are allowed, some with words that repeat, also those far behind in the block."""
     rng = random.Random(2)
-    items = [" ".join(f"v{rng.randrange(500)}" for _ in range(30)) for _ in range(10)]
-    needed, recall = decontam.repetitions_needed(items, decontam.Setting())
-    assert recall >= 0.99 and needed < decontam.Setting().most_repetitions
+    common = [f"v{i}" for i in range(60)]
+    lengths = [1, 4, 5, 10, 20, 30, 40, 50, 59, 80, 150, 400]
+    items = [(n * 1000 + i, " ".join(rng.choices(common, k=n) if i % 4 == 0 else [f"u{rng.randrange(3000)}" for _ in range(n)])) for n in lengths for i in range(40)]
+    rng.shuffle(items)
+    setting = decontam.Setting()
+    repetitions = decontam.repetitions_needed([t for _, t in items], setting)
+    assert set(repetitions) == set(lengths) and repetitions[400] is None and repetitions[20]
+    index = decontam.Index(items, repetitions, setting)
+    texts, wanted = [], []
+    for item, text in items:
+        words = text.split()
+        k = decontam.edits_allowed(len(words), setting.similarity)
+        for _ in range(5):
+            changed = decontam.edited(list(range(len(words))), k, rng)
+            if decontam.edit_distance(list(range(len(words))), changed, k) <= k:
+                window = [words[c] if c >= 0 else f"x{-c}y{rng.randrange(10**6)}" for c in changed]
+                texts.append(" ".join(filler(rng, 15) + window + filler(rng, 15)))
+                wanted.append((item, len(words)))
+    hits = {n: [] for n in lengths}
+    for (item, n), found in zip(wanted, index.search(texts)):
+        hits[n].append(item in {f[0] for f in found})
+    recall = {n: sum(h) / len(h) for n, h in hits.items() if h}
+    assert len(recall) == len(lengths) and all(r >= 0.98 for r in recall.values()), recall
+    assert sum(map(sum, hits.values())) / len(wanted) >= 0.99 and recall[400] == recall[150] == 1.0 or repetitions[150]
+    exact = decontam.Index(items, dict.fromkeys(lengths), setting)  # all lengths searched exactly
+    assert all(item in {f[0] for f in found} for (item, _), found in zip(wanted, exact.search(texts)))
 
 
 def test_edit_distance_band():
