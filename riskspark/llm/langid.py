@@ -38,7 +38,7 @@ class Fit:
 
     documents: int = 60
     characters: int = 20_000
-    longest: int = 20_000  # documents beyond are not sampled
+    piece: int = 2_000  # of a document at most; where it begins follows from its id
 
 
 def normal(text: str) -> str:
@@ -168,14 +168,16 @@ def train(df: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str
     """References from documents with a language outside the held-out fold.
 
     The rank per language is limited before the shuffle (a group limit per task), so a language with most rows stays cheap;
-    only ids are ranked, and at most ``documents`` texts a language come to the driver.
+    only ids are ranked, and at most ``documents`` pieces a language come to the driver. Documents of any length take part.
     """
-    known = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) <= fit.longest))
+    known = df.where(~held_out(id_col) & F.col(lang_col).isNotNull())
     rows = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, F.lit(11)).alias("_order"))
     ranked = Window.partitionBy("lang").orderBy("_order", "doc_id")
     chosen = rows.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= fit.documents).select("doc_id", "lang").distinct()
     chosen = write_through(chosen, "language-sample")
-    texts = id_text(known, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("lang", "doc_id").agg(F.max("text").alias("text"))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length("text") - fit.piece, F.lit(0)) + 1) + 1
+    pieces = id_text(known, id_col, text_col).join(F.broadcast(chosen), "doc_id").withColumn("text", F.col("text").substr(begin.cast("int"), F.lit(fit.piece)))
+    texts = pieces.groupBy("lang", "doc_id").agg(F.max("text").alias("text"))
     references: dict[str, str] = {}
     for row in texts.orderBy("lang", "doc_id").collect():
         held = references.get(row["lang"], "")

@@ -154,3 +154,13 @@ def test_language_awkward(spark):
 @pytest.mark.parametrize("word, expected", [("abc", {"abc"}), ("abcdef", {"abcdef", "abcd*", "abcde*"})])
 def test_features(word, expected):
     assert toxicity.features(word) == expected
+
+
+def test_language_of_long_documents_only(spark):
+    """A language whose labelled texts are all very long is learnt too."""
+    rows = [(i, "the quick brown fox jumps over it " * 3, "en") for i in range(30)] + [(100 + i, "pikku kettu hyppää aidan yli nopeasti " * 2000, "fi") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert set(model.references) == {"en", "fi"} and len(model.references["fi"]) > 2000
+    asked = spark.createDataFrame([(1, "kettu hyppää nopeasti"), (2, "the fox jumps over")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, model).collect()} == {1: "fi", 2: "en"}
