@@ -30,6 +30,7 @@ OTHER = "<|file|>"
 
 #: Type of ``parts``: what a message can hold. Sizes are in pixels, seconds and pages.
 PART = "struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>"
+REST = {"ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}  # what a text has none of
 PATCH, AUDIO_PER_SECOND, PER_PAGE = 28, 25, 512
 
 
@@ -46,20 +47,22 @@ def unescape(text: Column) -> Column:
 
 def text_part(text: Column) -> Column:
     """Parts of a message that is only a text."""
-    return F.array(F.named_struct(F.lit("type"), F.lit("text"), F.lit("text"), text)).cast(
-        "array<struct<type: string, text: string>>"
-    )
+    return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), *[F.lit(None).cast(kind).alias(name) for name, kind in REST.items()]))
 
 
 def visit(parts: Column) -> tuple[Column, Column]:
-    """(text with placeholders, attachments) of one message. Parts of an unknown type with a text count as text, others as a file."""
+    """(text with placeholders, attachments) of one message. Parts of an unknown type with a text count as text, others as a file.
+
+    A text that comes with a reference is followed by the placeholder of a file, so that no reference is lost.
+    """
 
     def is_text(part: Column) -> Column:
         known = F.coalesce(part["type"].isin(*PLACEHOLDERS), F.lit(False))
         return ~known & ((part["type"] == "text").eqNullSafe(True) | part["text"].isNotNull())
 
     def render(part: Column) -> Column:
-        out = F.when(is_text(part), escape(F.coalesce(part["text"], F.lit(""))))
+        text = escape(F.coalesce(part["text"], F.lit("")))
+        out = F.when(is_text(part), F.concat(text, F.when(part["ref"].isNotNull(), F.lit(OTHER)).otherwise(F.lit(""))))
         for kind, mark in PLACEHOLDERS.items():
             out = out.when(part["type"] == kind, F.lit(mark))
         return out.otherwise(F.lit(OTHER))
@@ -75,8 +78,8 @@ def visit(parts: Column) -> tuple[Column, Column]:
         )
 
     attachments = F.transform(
-        F.filter(parts, lambda p: ~is_text(p)),
-        lambda p: F.struct(F.coalesce(p["type"], F.lit("file")).alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")),
+        F.filter(parts, lambda p: ~is_text(p) | p["ref"].isNotNull()),
+        lambda p: F.struct(F.when(is_text(p), F.lit("file")).otherwise(F.coalesce(p["type"], F.lit("file"))).alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")),
     )
     return F.array_join(F.transform(parts, render), ""), attachments
 
@@ -84,12 +87,10 @@ def visit(parts: Column) -> tuple[Column, Column]:
 def format_conversations(
     messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str | None = "text", parts: str | None = None
 ) -> DataFrame:
-    """(conv_id, formatted, loss_spans, attachments, n_turns) from one row per message, with ``text`` or with ``parts`` (array of PART)."""
+    """(conv_id, formatted, loss_spans, attachments, n_turns) from one row per message, with ``text`` (one text part) or with ``parts`` (array of PART)."""
     who = F.coalesce(F.col(role), F.lit(""))
-    if parts is None:
-        body, files = escape(F.coalesce(F.col(text), F.lit(""))), F.array().cast("array<struct<type: string, ref: string, tokens: bigint>>")
-    else:
-        body, files = visit(F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")))
+    typed = text_part(F.col(text)) if parts is None else F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
+    body, files = visit(typed)
     head = F.concat(F.lit(START), F.replace(escape(who), F.lit("\n"), F.lit("\\\n")), F.lit("\n"))
     turns = messages.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), who.alias("role"), body.alias("body"), files.alias("files"), head.alias("head")

@@ -150,3 +150,22 @@ def test_written_rows_read_back(spark, tmp_path):
     packing.write(packed, str(tmp_path / "packed"))
     digest = lambda df: sorted(hashlib.sha256(bytes(r["ids"])).hexdigest() for r in df.collect())
     assert digest(spark.read.parquet(str(tmp_path / "packed"))) == digest(packed)
+
+
+def test_chat_visits_texts_and_parts_alike(spark):
+    """A text goes through the visitor as one typed part; images, audio, documents and references are kept in order."""
+    said = [(1, 0, "user", "look <|image|> [INST]"), (1, 1, "assistant", "fine"), (2, 0, "user", None)]
+    plain = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    typed = spark.createDataFrame([(c, t, r, [{"type": "text", "text": x}]) for c, t, r, x in said], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    columns = ["conv_id", "formatted", "loss_spans", "attachments", "n_turns"]
+    sorted_rows = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert sorted_rows(chat.format_conversations(plain)) == sorted_rows(chat.format_conversations(typed, parts="parts", text=None))
+    parts = [
+        {"type": "text", "text": "see"}, {"type": "image", "ref": "a.png", "width": 57, "height": 28}, {"type": "note", "text": "and", "ref": "n.txt"},
+        {"type": "audio", "ref": "b.wav", "seconds": 1.01}, {"type": "document", "ref": "c.pdf", "pages": 2}, {"type": "odd", "ref": "d"}, {"type": None, "text": "end"},
+    ]
+    df = spark.createDataFrame([(5, 0, "user", parts), (5, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    row = read(spark, chat.format_conversations(df, parts="parts", text=None))[0]
+    assert "see<|image|>and<|file|><|audio|><|document|><|file|>end<|im_end|>" in row["formatted"]
+    assert [(a["type"], a["ref"], a["tokens"]) for a in row["attachments"]] == [
+        ("image", "a.png", 3), ("file", "n.txt", 1), ("audio", "b.wav", 26), ("document", "c.pdf", 1024), ("odd", "d", 1)]
