@@ -2,7 +2,8 @@
 
 Patterns find assignments to secret-like names, access keys and long hex strings. The entropy part takes strings
 of characters that keys are made of, slides a window over each, keeps counts per character incrementally (one in, one
-out), and reports the longest stretches whose windows all reach the entropy asked for their character class. An
+out), and reports the whole string once a window reaches the entropy asked for its character class. The least entropies are the 1st
+percentile of windows of random keys, so a key of one window is missed once in a hundred, a longer one far less often. An
 allow-list suppresses entropy findings that are known to be harmless; pattern findings always stay.
 
 Null texts count as empty; texts of any length are scanned whole; rows are independent, so repeated ids give repeated rows.
@@ -21,7 +22,7 @@ from riskspark.llm.common import id_text, per_text
 
 Span = tuple[int, int, str]
 
-KINDS = ["assign", "access", "hex", "entropy_base64", "entropy_hex", "entropy_alnum"]
+KINDS = ["assign", "access", "hex", "entropy_base64", "entropy_hex", "entropy_alnum", "entropy_lower"]
 
 _ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
@@ -38,18 +39,19 @@ class Entropy:
     """Window length and the bits per character that each class of characters must reach."""
 
     window: int = 20
-    base64: float = 3.9
-    alnum: float = 3.8
+    base64: float = 3.64
+    alnum: float = 3.64
+    lower: float = 3.4  # digits and letters of one case
     hex: float = 2.9
 
 
-#: Harmless strings that look random: identifiers of the usual shape, documented example keys, runs of the alphabet.
+#: Harmless strings that look random: identifiers of the usual shapes, documented example keys, runs of the alphabet.
 ALLOWED = [
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i:[a-z0-9+/_=-]*example[a-z0-9+/_=-]*)",
     r"(?i:[a-z0-9+/_=-]*abcdefghijklmnop[a-z0-9+/_=-]*)",
     r"[A-Za-z0-9+/_=-]*0123456789[A-Za-z0-9+/_=-]*",
-    r"[A-Za-z]+(?:[-_/][A-Za-z]+)+",
+    r"[A-Za-z]+[0-9]{0,2}(?:[-_/=](?:[A-Za-z]+[0-9]{0,2}|[0-9]{1,8}))+",
     r"[A-Za-z]+",
     r"[0-9_=/+-]+",
 ]
@@ -60,7 +62,9 @@ def character_class(text: str) -> str:
     """The narrowest class that holds all characters."""
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         return "hex"
-    return "alnum" if text.isalnum() else "base64"
+    if not text.isalnum():
+        return "base64"
+    return "lower" if text in (text.lower(), text.upper()) else "alnum"
 
 
 def window_entropies(text: str, window: int) -> list[float]:
@@ -100,21 +104,15 @@ def base_spans(text: str) -> list[Span]:
 
 
 def entropy_spans(text: str, setting: Entropy) -> list[Span]:
-    """Stretches of candidate strings in which every window is as uneven as random keys are."""
+    """Candidate strings, whole, with a window as uneven as random keys are."""
     found: list[Span] = []
     for match in _CANDIDATE.finditer(text):
         word = match.group()
         if _ALLOWED.fullmatch(word):
             continue
         kind = character_class(word)
-        least = getattr(setting, kind)
-        open_at = -1
-        for at, bits in enumerate([*window_entropies(word, setting.window), -1.0]):
-            if bits >= least and open_at < 0:
-                open_at = at
-            elif bits < least and open_at >= 0:
-                found.append((match.start() + open_at, match.start() + at - 1 + setting.window, f"entropy_{kind}"))
-                open_at = -1
+        if any(bits >= getattr(setting, kind) for bits in window_entropies(word, setting.window)):
+            found.append((match.start(), match.end(), f"entropy_{kind}"))
     return found
 
 

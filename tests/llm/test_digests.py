@@ -84,6 +84,25 @@ def plain_secrets(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, k) for s, _, e, k in sorted(found)]
 
 
+@pytest.mark.parametrize("alphabet, size, most_missed", [
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 20, 0.03), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 40, 0.002),
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 20, 0.04), ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.005), ("0123456789ABCDEF", 20, 0.04)])
+def test_random_keys_are_found_and_masked_whole(alphabet, size, most_missed):
+    rng = random.Random(size)
+    missed = 0
+    for _ in range(2000):
+        key = "".join(rng.choices(alphabet, k=size))
+        masked = secrets.mask(f"see {key} there")
+        assert masked in (f"see {key} there", "see [SECRET] there")  # never a part of a key
+        missed += key in masked
+    assert missed <= most_missed * 2000, missed
+
+
+@pytest.mark.parametrize("text", ["user_profile_settings_v2_2024", "internationalizationconferences", "/usr/local/share/applications", "--------------------------", "12345678901234567890", "page=2024-11-30_12_45_00", "zzzzzzzzzzzzzzzzzzzzzzzz1"])
+def test_harmless_strings_stay(text):
+    assert secrets.mask(f"a {text} b") == f"a {text} b"
+
+
 def test_secrets_query(spark):
     folder = "/root/testdata/sf0.01"
     texts, found = documents(spark, folder), QUERIES["op10_secrets"](spark, folder).collect()
