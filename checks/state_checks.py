@@ -150,10 +150,24 @@ def _guard(spark, sf_dir):
     return ref.cutoff_violations(rows.where(f"TransactionDT >= {CUT - 86400}"), state.meta)
 
 
-@query("leakage_audit", "select 'past_features_changed' as \"check\", 0::bigint as violations union all select 'keys_without_first_row', 0::bigint")
+CONTROL = (86_400 * 3, 86_400 * 4)  # the day that the control takes away
+FIRST_GONE = [f"""gone_{k} as (select {k} as k, min((TransactionDT, TransactionID)) as at from keyed where TransactionDT >= {CONTROL[0]} and TransactionDT < {CONTROL[1]} group by 1)""" for k in KEYS]
+
+
+@query("leakage_audit", txn_sql(f"""
+select 'past_features_changed' as "check", 0::bigint as violations union all select 'keys_without_first_row', 0::bigint
+union all
+select 'control_rows_changed', count(*) from keyed t {' '.join(f'left join gone_{k} on gone_{k}.k = t.{k}' for k in KEYS)}
+where TransactionDT < {86_400 * 29} and ((TransactionDT >= {CONTROL[0]} and TransactionDT < {CONTROL[1]}) or {' or '.join(f'coalesce(gone_{k}.at < (t.TransactionDT, t.TransactionID), false)' for k in KEYS)})""", KEYED, *FIRST_GONE))
 def _leakage(spark, sf_dir):
-    """Flip every label and raise every amount of the last two days; earlier rows must not move."""
+    """Flip every label and raise every amount of the last two days; earlier rows must not move.
+
+    As a control a whole day is taken away: exactly its rows and the later ones that share a key with it must differ.
+    """
     rows = txn(spark, sf_dir)
     changed = rows.withColumn("isFraud", 1 - F.col("isFraud")).withColumn(
         "TransactionAmt", F.when(F.col("TransactionDT") >= 86_400 * 29, F.col("TransactionAmt") * 1000).otherwise(F.col("TransactionAmt")))
-    return history.leakage_audit(rows, changed, F.col("TransactionDT") < 86_400 * 29)
+    upto = F.col("TransactionDT") < 86_400 * 29
+    less = rows.where((F.col("TransactionDT") < CONTROL[0]) | (F.col("TransactionDT") >= CONTROL[1]))
+    control = history.leakage_audit(rows, less, upto).where(F.col("check") == "past_features_changed")
+    return history.leakage_audit(rows, changed, upto).unionByName(control.withColumn("check", F.lit("control_rows_changed")))
