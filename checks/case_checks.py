@@ -216,6 +216,29 @@ def _audit(spark, sf_dir):
     return rows
 
 
+@query("constraint_keys", case_sql("""
+select 'history' as table_name, 'status_known' as rule, 0::bigint as violations
+union all select 'history', 'one_to_eight_models', count(*) from runs where week * 3 not between 1 and 8
+union all select 'history', 'counters_add_up', count(*) from runs where processed_count + failed_count > greatest(received_count, processed_count + failed_count)
+union all select 'events', 'unique run_id, sequence_number', count(*) from lifecycle where sequence_number % 50 = 0
+union all select 'predictions', 'unique transaction_id, model_identifier', (select count(*) from (select 1 from predictions group by transaction_id, model_identifier having count(*) > 1))
+union all select 'alerts', 'transaction_id in done', count(*) from alerts where transaction_id not in (select transaction_id from lifecycle where status = 'COMPLETED')
+union all select 'predictions', 'transaction_id in events', count(*) from predictions where transaction_id not in (select transaction_id from lifecycle)"""))
+def _keys(spark, sf_dir):
+    """History rules, unique keys and parent rows; every fiftieth event arrives twice, and failed events are no parents."""
+    runs, events = demo.runs(spark, sf_dir), demo.events(spark, sf_dir)
+    week = F.substring("run_id", 5, 10).cast("int")
+    history = cases.run_rollup(runs).withColumn("selected_models", F.filter(F.sequence(F.lit(1), week * 3 + 1), lambda n: n <= week * 3))
+    rules = contract.constraint_audit(history, contract.HISTORY_RULES).select(F.lit("history").alias("table_name"), "rule", "violations")
+    tables = {
+        "events": events.unionByName(events.where("sequence_number % 50 = 0")), "predictions": demo.predictions(spark, sf_dir),
+        "alerts": demo.alerts(spark, sf_dir), "done": events.where("status = 'COMPLETED'"),
+    }
+    unique = {"events": ["run_id", "sequence_number"], "predictions": ["transaction_id", "model_identifier"]}
+    parents = [("alerts", "done", ["transaction_id"]), ("predictions", "events", ["transaction_id"])]
+    return rules.unionByName(contract.key_audit(tables, unique, parents))
+
+
 RANKED = """ranked as (select *, row_number() over (partition by transaction_id, model_identifier order by abs(contribution) desc, feature) as rank from contributions)"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -252,6 +254,27 @@ def unique_violations(df: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def orphan_rows(child: DataFrame, parent: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``child`` whose key is set but absent from ``parent``; as in a foreign key, a NULL passes."""
+    named = F.lit(True)
+    for c in key:
+        named = named & F.col(c).isNotNull()
+    return child.where(named).join(parent.select(*key), key, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))
+
+
+def key_audit(tables: dict[str, DataFrame], unique: dict[str, list[str]], parents: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """(table_name, rule, violations): keys that occur more than once, and rows without their parent (child, parent, key)."""
+    parts = [
+        unique_violations(tables[t], key).select(F.lit(t).alias("table_name"), F.lit(f"unique {', '.join(key)}").alias("rule"), F.col("repeated_keys").alias("violations"))
+        for t, key in unique.items()
+    ]
+    parts += [
+        orphan_rows(tables[c], tables[p], key).select(F.lit(c).alias("table_name"), F.lit(f"{', '.join(key)} in {p}").alias("rule"), F.col("orphans").alias("violations"))
+        for c, p, key in parents
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def safe_id_parse(column: str | Column) -> Column:
     """Exact integer spelling (``100`` or ``100.0``) to bigint, anything else NULL."""
     text = (F.col(column) if isinstance(column, str) else column).cast("string")

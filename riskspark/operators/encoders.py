@@ -53,7 +53,14 @@ def apply_frequency(df: DataFrame, levels: DataFrame, columns: list[str]) -> Dat
 
 
 def _few_levels(levels: DataFrame, columns: list[str]) -> dict[str, list]:
-    """Levels of columns that have at most LOW_CARDINALITY_MAX of them (besides MISSING), which is why they are one-hot encoded."""
+    """Levels of columns that have at most LOW_CARDINALITY_MAX of them (besides MISSING), which is why they are one-hot encoded.
+
+    A group given by the caller is checked: a column with more levels is refused before anything is collected.
+    """
+    sizes = levels.where(F.col("column").isin(columns) & (F.col("value") != MISSING)).groupBy("column").count()
+    wide = sorted(r["column"] for r in sizes.where(F.col("count") > LOW_CARDINALITY_MAX).collect())  # one row per column at most
+    if wide:
+        raise ValueError(f"too many levels for one-hot encoding, use frequencies: {', '.join(wide)}")
     rows = levels.where(F.col("column").isin(columns)).orderBy("column", "value").collect()
     return {c: [r for r in rows if r["column"] == c] for c in columns}
 

@@ -127,3 +127,11 @@ def test_upsert_latest(spark):
     base = spark.createDataFrame([(1, "old"), (2, "keep")], "k int, v string")
     new = spark.createDataFrame([(1, "mid", 1), (1, "new", 2), (3, None, 1)], "k int, v string, t int")
     assert rows(sinks.upsert_latest(base, new, ["k"], F.col("t")), "k") == [{"k": 1, "v": "new"}, {"k": 2, "v": "keep"}, {"k": 3, "v": None}]
+
+
+def test_key_audit(spark):
+    parent = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string")
+    child = spark.createDataFrame([(1,), (3,), (3,), (None,)], "k long")
+    found = {(r["table_name"], r["rule"]): r["violations"] for r in c.key_audit({"p": parent, "c": child}, {"p": ["k"], "c": ["k"]}, [("c", "p", ["k"])]).collect()}
+    assert found == {("p", "unique k"): 1, ("c", "unique k"): 1, ("c", "k in p"): 2}
+    assert c.orphan_rows(child.limit(0), parent, ["k"]).first()["orphans"] == 0

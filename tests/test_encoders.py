@@ -75,3 +75,10 @@ def test_any_number_of_levels(spark):
     levels = enc.fit_levels(train.union(train.where("x < 'v2'")), ["x"], rare_min_count=3)
     score = spark.createDataFrame([("v1",), ("v3",), ("nowhere",)], "x string")
     assert [r["x"] for r in rows(enc.apply_rare_levels(score, levels, ["x"]), "x")] == ["OTHER", "UNKNOWN", "v1"]
+
+
+def test_too_many_levels_are_refused(spark):
+    df = spark.range(300).selectExpr("id as TransactionID", "cast(id % 101 as string) as wide", "cast(id % 3 as string) as small")
+    with pytest.raises(ValueError, match="wide"):
+        enc.fit_linear(df, {"numeric": [], "low_cardinality": ["wide", "small"], "high_cardinality": []})
+    assert set(enc.fit_linear(df, {"numeric": [], "low_cardinality": ["small"], "high_cardinality": ["wide"]})["one_hot"]) == {"small"}
