@@ -107,7 +107,7 @@ def batch_summary(predictions: DataFrame, refused: DataFrame, key: list[str]) ->
 def alert_queue(alerts: DataFrame, *, status: str | None = None, transaction_id: int | None = None, limit: int = 100) -> DataFrame:
     """Highest risk first, older alerts first among equals."""
     if not 1 <= limit <= 500:
-        raise ValueError("Alert limit must be between 1 and 500")
+        raise ValueError("a page of alerts has 1 to 500 rows")
     if status:
         alerts = alerts.where(F.col("status") == status)
     if transaction_id is not None:

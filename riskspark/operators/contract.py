@@ -37,13 +37,13 @@ def align_contract(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     columns = columns or contract_columns()
     names = [c for c in df.columns if c != LABEL]
     if len(names) != len(set(names)):
-        raise ValueError("Input contains duplicate column names")
+        raise ValueError("these rows have a duplicate column name")
     unexpected = schema_difference(names, columns)[1]
     if unexpected:
-        raise ValueError(f"Input contains unknown fields: {unexpected}")
+        raise ValueError(f"unknown fields, for which the contract has no column: {unexpected}")
     for required in (ID, TIME):
         if required not in names:
-            raise ValueError(f"Missing required field: {required}")
+            raise ValueError(f"Missing required field, which every row needs: {required}")
     types = {c: column_type(c).simpleString() for c in columns}
     return df.select(*[
         F.expr(f"try_cast(`{c}` as {types[c]})").alias(c) if c in names else F.lit(None).cast(types[c]).alias(c)
@@ -101,7 +101,7 @@ def validate_rows(
     if contract is not None:
         unexpected = schema_difference([c for c in df.columns if c != LABEL], contract)[1]
         if unexpected:
-            failures.append((F.lit(True), f"Input contains unknown fields: {unexpected}"))
+            failures.append((F.lit(True), f"unknown fields, for which the contract has no column: {unexpected}"))
     failures += [
         (~_finite(ident), FINITE_ID_TEXT),
         ((ident <= 0) | (ident % 1 != 0), POSITIVE_ID_TEXT),
@@ -163,7 +163,7 @@ def protect_columns(df: DataFrame) -> DataFrame:
 
 def assert_protected(columns: list[str]) -> None:
     if LABEL in columns or ID in columns:
-        raise ValueError("Protected target or identifier reached a model")
+        raise ValueError("label and id must not be inputs of a model")
 
 
 def input_completeness(columns: list[str]) -> Column:

@@ -33,7 +33,7 @@ def rank_contributions(rows: DataFrame, key: list[str], *, top_k: int = TOP_K, t
     finite = F.col("contribution").isNotNull() & ~F.isnan("contribution") & (F.abs("contribution") != float("inf"))
     checked = rows.withColumn(
         "contribution", F.when(finite, F.col("contribution")).otherwise(
-            F.raise_error(F.lit("Model returned invalid local feature contributions")).cast("double")))
+            F.raise_error(F.lit("a contribution is missing or not finite")).cast("double")))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(F.abs("contribution")), tie))
     return checked.withColumn("rank", rank).where(F.col("rank") <= top_k).withColumn("direction", direction(F.col("contribution")))
 

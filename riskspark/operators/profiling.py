@@ -135,7 +135,7 @@ def positive_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
 def positive_weight(df: DataFrame, mode: str, label: str = LABEL) -> float:
     found = positive_weights(df, label).where(F.col("mode") == mode).collect()  # one row
     if not found:
-        raise ValueError(f"Unknown class-weight mode: {mode}")
+        raise ValueError(f"no weight mode has the name {mode}")
     return float(found[0]["weight"])
 
 

@@ -77,7 +77,7 @@ def frozen(state: ReferenceState) -> ReferenceState:
 def build(df: DataFrame, specs: list[KeyHistory] | None = None) -> ReferenceState:
     """State of all rows in ``df``; the label is never read."""
     if df.isEmpty():
-        raise ValueError("Behavioral reference history cannot be empty")
+        raise ValueError("there are no rows to build state from: history cannot be empty")
     columns = with_v2_row_features(df).columns
     return frozen(delta(df, [s.present(columns) for s in specs or KEY_HISTORIES], None))
 
@@ -118,9 +118,9 @@ def cutoff_violations(df: DataFrame, meta: DataFrame) -> DataFrame:
 def require_after_cutoff(df: DataFrame, meta: DataFrame) -> None:
     found = cutoff_violations(df, meta).first()  # one row
     if not found["state_usable"]:
-        raise ValueError("Behavioral reference is missing its chronological history cutoff or target exclusion")
+        raise ValueError("this state has no end of history or no target exclusion, so it can't be applied")
     if found["overlapping_rows"]:
-        raise ValueError("Behavioral reference overlaps the transaction being scored")
+        raise ValueError("the stored history overlaps the rows to score")
 
 
 def delta(df: DataFrame, specs: list[KeyHistory], known_pairs: DataFrame | None, *, reuse: bool = True) -> ReferenceState:

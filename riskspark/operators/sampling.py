@@ -33,9 +33,9 @@ def split_chronological(df: DataFrame, *, train: float = 0.70, validation: float
     the wide rows are labelled in place without a shuffle.
     """
     if not 0 < train < 1 or not 0 < validation < 1:
-        raise ValueError("Split fractions must be between zero and one")
+        raise ValueError("the shares of train and validation lie strictly between 0 and 1")
     if train + validation >= 1:
-        raise ValueError("Train and validation fractions must leave a test partition")
+        raise ValueError("no share is left for test rows")
     n = df.count()
     first, second = int(n * train), int(n * (train + validation))
     keys = _position_keys(df, [first, second])
@@ -56,7 +56,7 @@ def split_summary(df: DataFrame) -> DataFrame:
 
 def fold_bounds(rows: int) -> list[tuple[int, int]]:
     if rows < 100:
-        raise ValueError("At least 100 ordered rows are required for time folds")
+        raise ValueError("time folds take 100 rows or more")
     return [(int(rows * a / DEVELOPMENT_SHARE), int(rows * b / DEVELOPMENT_SHARE)) for a, b in FOLD_BOUNDS]
 
 

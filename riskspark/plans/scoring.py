@@ -38,7 +38,7 @@ def score_models(features: DataFrame, models: dict[str, FittedModel | LinearScor
     The feature frame is written once and read by every model.
     """
     if not models:
-        raise ValueError("Select at least one model")
+        raise ValueError("there is no model to score with")
     rows = write_through(features, "scoring") if reuse and len(models) > 1 else features
     parts = [
         fitted.score(rows).select(ID, F.lit(name).alias("model_identifier"), F.col("probability").alias("risk_score"))
@@ -52,7 +52,7 @@ def score_models(features: DataFrame, models: dict[str, FittedModel | LinearScor
 
 def require_unique_models(names: list[str]) -> None:
     if not names or len(names) != len(set(names)):
-        raise ValueError("Select between one and eight unique models")
+        raise ValueError("one to eight different models can be asked for")
 
 
 def score_external_model(
