@@ -215,6 +215,16 @@ def cardinality_band(distinct: Column) -> Column:
     return F.when(distinct <= 20, "low").when(distinct <= 100, "medium").when(distinct <= 1000, "high").otherwise("very_high")
 
 
+# What the audit says of a feature by model, for few levels, many levels and numbers.
+EXCLUDED_TREATMENT = "exclude from model input"
+TREATMENTS = {
+    "logistic_regression": ("one-hot with rare grouping", "frequency encode", "median impute, missing indicator, standardize"),
+    "lightgbm": ("native category", "frequency encode", "numeric; preserve NaN; no scaling"),
+    "catboost": ("native categorical string", "native categorical string", "numeric; preserve NaN; no scaling"),
+    "neural_network": ("training vocabulary plus embedding", "training vocabulary plus embedding", "median impute, missing indicator, standardize"),
+}
+
+
 def feature_audit(train: DataFrame) -> DataFrame:
     """Role, missing share, cardinality band and treatment per model family."""
     types = {f.name: f.dataType for f in train.schema}
@@ -232,23 +242,19 @@ def feature_audit(train: DataFrame) -> DataFrame:
     category = F.col("role").isin("identifier_code", "categorical")
     small = F.col("distinct_values") <= 100
 
-    def treatment(for_small: str, for_large: str, for_number: str) -> Column:
+    def treatment(model: str) -> Column:
+        for_small, for_large, for_number = TREATMENTS[model]
         return (
-            F.when(excluded, "exclude from model input").when(category & small, for_small)
+            F.when(excluded, EXCLUDED_TREATMENT).when(category & small, for_small)
             .when(category, for_large).otherwise(for_number)
         )
 
-    scaled = "median impute, missing indicator, standardize"
-    kept = "numeric; preserve NaN; no scaling"
     return summary.select(
         F.col("column").alias("feature"), _types(train).alias("dtype"), "role",
         F.round(F.col("missing") / F.col("rows") * 100, 4).alias("missing_percent_train"),
         F.col("distinct_values").alias("unique_non_null_train"),
         F.when(category, cardinality_band(F.col("distinct_values"))).otherwise("not_applicable").alias("cardinality_band"),
-        treatment("one-hot with rare grouping", "frequency encode", scaled).alias("logistic_regression"),
-        treatment("native category", "frequency encode", kept).alias("lightgbm"),
-        treatment("native categorical string", "native categorical string", kept).alias("catboost"),
-        treatment("training vocabulary plus embedding", "training vocabulary plus embedding", scaled).alias("neural_network"),
+        *[treatment(model).alias(model) for model in TREATMENTS],
     )
 
 
