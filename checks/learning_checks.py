@@ -10,7 +10,7 @@ from riskspark.operators import reference_state, sampling
 from riskspark.operators.evaluation import cv_summary
 from riskspark.operators.history import KeyHistory, with_history
 from riskspark.functions.row_features import with_v2_row_features
-from riskspark.plans import batch, scoring, staged, training
+from riskspark.plans import batch, network, scoring, staged, training
 from riskspark.session import write_through
 from riskspark.sources.demo_tables import txn
 
@@ -70,7 +70,8 @@ def _boosted(spark, sf_dir):
 @query("train_network", facts_sql("network"))
 def _network(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    return facts(training.train_network(split(rows, "train"), groups=GROUPS), rows, "network")
+    fitted = network.train_network(split(rows, "train"), split(rows, "validation"), groups=GROUPS, hidden=(32, 16), dropout=(), epochs=6, batches=8, rate=0.02)
+    return facts(fitted, rows, "network")
 
 
 @query("search_folds")
@@ -83,7 +84,7 @@ def _folds(spark, sf_dir):
 @query("search_weight_mode")
 def _mode(spark, sf_dir):
     rows = prepared(spark, sf_dir)
-    return training.search_weight_mode(split(rows, "train"), split(rows, "validation"), groups=GROUPS)
+    return network.search_weight_mode(split(rows, "train"), split(rows, "validation"), groups=GROUPS, hidden=(32, 16), dropout=(), epochs=6, batches=8, rate=0.02)
 
 
 # Models of fixed coefficients, which SQL can state.

@@ -128,9 +128,9 @@ def scaling_values(fitted: DataFrame) -> dict[str, dict]:
     return {r["column"]: r.asDict() for r in fitted.collect()}
 
 
-def apply_scaling(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+def apply_scaling(df: DataFrame, fitted: DataFrame | dict[str, dict], columns: list[str]) -> DataFrame:
     """Standardised value and missing flag per column; infinite results are clamped."""
-    values = scaling_values(fitted)
+    values = fitted if isinstance(fitted, dict) else scaling_values(fitted)
     added = {}
     for c in columns:
         v = values[c]

@@ -133,16 +133,6 @@ def average_precision(scored: DataFrame) -> float:
     return float(value or 0.0)
 
 
-def search_weight_mode(train: DataFrame, valid: DataFrame, *, groups: dict, max_iter: int = 40) -> DataFrame:
-    """Square-root or full class weight for the network, by validation average precision."""
-    state = fit_state(train, groups)
-    results = []
-    for mode in NETWORK_WEIGHT_MODES:
-        fitted = train_network(train, weight_mode=mode, state=state, max_iter=max_iter)
-        results.append((mode, average_precision(fitted.score(valid))))
-    return train.sparkSession.createDataFrame(results, "name string, validation_pr_auc double")
-
-
 def feature_importance(fitted: FittedModel, top: int = 100) -> DataFrame:
     """Coefficients or gains by size; as many rows as the model has inputs."""
     linear = hasattr(fitted.model, "coefficients")
