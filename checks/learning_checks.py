@@ -10,7 +10,7 @@ from riskspark.operators import reference_state, sampling
 from riskspark.operators.evaluation import cv_summary
 from riskspark.operators.history import KeyHistory, with_history
 from riskspark.functions.row_features import with_v2_row_features
-from riskspark.plans import batch, network, scoring, staged, training
+from riskspark.plans import batch, network, scoring, staged, training, tree_contributions
 from riskspark.session import write_through
 from riskspark.sources.demo_tables import txn
 
@@ -136,6 +136,21 @@ def _ablation(spark, sf_dir):
     return found.select("TransactionID", "feature", rounded("contribution"), F.col("rank").cast("bigint").alias("rank"), "direction")
 
 
+@query("explain_trees", txn_sql("""
+select count(*) as rows_explained, 0::bigint as not_additive
+from placed where place >= cast(floor(n * (0.70::double + 0.15::double)) as bigint)""", PLACED))
+def _trees(spark, sf_dir):
+    """Contributions of all test rows, added up against their margins: no row may differ."""
+    rows = prepared(spark, sf_dir)
+    fitted = staged.train_staged(split(rows, "train"), split(rows, "validation"), groups=GROUPS, max_iter=5, max_depth=4)
+    leaf, test = tree_contributions.leaves(fitted), split(rows, "test")
+    margins = staged.staged_margins(staged.apply_native(test, fitted.state)[0], fitted.model, fitted.rounds)
+    expected = margins.select("TransactionID", (F.element_at("margins", -1) - tree_contributions.base(leaf)).alias("expected"))
+    sums = tree_contributions.contributions(test, fitted, leaf).groupBy("TransactionID").agg(F.sum("contribution").alias("total"))
+    off = F.abs(F.coalesce("total", F.lit(0.0)) - F.coalesce("expected", F.lit(float("inf")))) > 1e-9
+    return expected.join(sums, "TransactionID", "left").agg(F.count(F.lit(1)).alias("rows_explained"), F.count_if(off).alias("not_additive"))
+
+
 CUT = 22 * 86_400
 LATER = scoring.LinearScorer({"TransactionAmt": 0.0131, "card1_key_prior_count": 0.0213}, -1.1)
 EARLY = scoring.LinearScorer({"TransactionAmt": 0.0131, "has_identity": 0.771}, -1.3)
