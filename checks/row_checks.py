@@ -9,7 +9,7 @@ from riskspark.functions import row_features as rf
 from riskspark.operators import contract, ordering
 from riskspark.schema import contract_schema
 from riskspark.session import scratch_path
-from riskspark.sources import readers, sinks
+from riskspark.sources import keyed_table, readers, sinks
 from riskspark.sources.demo_tables import identities, table, transactions, txn
 
 SOURCE = ["TransactionID", "TransactionDT", "TransactionAmt", "ProductCD", "card1", "card2", "addr1", "addr2",
@@ -344,20 +344,55 @@ def _decode(spark, sf_dir):
     return readers.decode_payload(stored, schema)
 
 
-@query("upsert_latest", """
+UPSERT_SQL = """
 with base as (select o_orderkey, o_orderstatus, o_totalprice from orders),
 upd as (select l_orderkey as o_orderkey, l_linestatus as o_orderstatus, l_extendedprice as o_totalprice,
   row_number() over (partition by l_orderkey order by l_shipdate desc, l_extendedprice desc, l_linestatus desc) as rn from lineitem)
 select o_orderkey, o_orderstatus, o_totalprice from base where o_orderkey not in (select o_orderkey from upd)
-union all select o_orderkey, o_orderstatus, o_totalprice from upd where rn = 1""")
+union all select o_orderkey, o_orderstatus, o_totalprice from upd where rn = 1"""
+
+
+@query("upsert_latest", UPSERT_SQL)
 def _upsert(spark, sf_dir):
+    base, updates = order_updates(spark, sf_dir)
+    return sinks.upsert_latest(base, updates, ["o_orderkey"], F.col("v"))
+
+
+def order_updates(spark, sf_dir):
     base = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     lines = table(spark, sf_dir, "lineitem")
     # Dates and prices make one number, so that the latest line of an order is unique.
     updates = lines.select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("o_orderstatus"), F.col("l_extendedprice").alias("o_totalprice"),
         (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) * 1_000_000_000 + F.rint(F.col("l_extendedprice") * 100).cast("long")).alias("v"))
-    return sinks.upsert_latest(base, updates, ["o_orderkey"], F.col("v"))
+    return base, updates
+
+
+@query("upsert_stored", UPSERT_SQL)
+def _upsert_stored(spark, sf_dir):
+    """Lines up to the end of 1994 and later ones are merged one after the other into a stored table."""
+    base, updates = order_updates(spark, sf_dir)
+    stored = keyed_table.KeyedTable(spark, scratch_path(spark, "orders"), base.schema, ["o_orderkey"], buckets=8)
+    stored.create(base)
+    new_year = 788_918_400 * 1_000_000_000  # 1995 in the updates' order
+    stored.merge(updates.where(F.col("v") < new_year), 1, F.col("v"))
+    stored.merge(updates.where(F.col("v") >= new_year), 2, F.col("v"))
+    return stored.read()
+
+
+@query("lookup_stored", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey in (17, 4242, 999999999)")
+def _lookup_stored(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    stored = keyed_table.KeyedTable(spark, scratch_path(spark, "orders"), rows.schema, ["o_orderkey"], buckets=8)
+    stored.create(rows)
+    return stored.lookup([(17,), (4242,), (999_999_999,)])
+
+
+@query("keyset_stored", "select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey > 4242 order by 1 limit 100")
+def _keyset_stored(spark, sf_dir):
+    stored = keyed_table.ClusteredTable(spark, scratch_path(spark, "orders"), "o_orderkey")
+    stored.write(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), files=8)
+    return stored.page(4242, 100)
 
 
 @query("sink_split_parquet", txn_sql("""
