@@ -51,6 +51,17 @@ def _rare(spark, sf_dir):
     return encoders.apply_rare_levels(txn(spark, sf_dir), levels, LOW).select("TransactionID", *LOW)
 
 
+@query("enc_levels_once", txn_sql("select t.TransactionID, " + ", ".join(
+    [r(f"coalesce(lv_{c}.share, 0)", f"{c}__frequency") for c in FREQ] + [
+        f"case when lv_{c}.v is null then 'UNKNOWN' when lv_{c}.n >= {RARE} or lv_{c}.v = 'MISSING' then lv_{c}.v else 'OTHER' end as {c}" for c in LOW])
+    + f" from txn t {joined(dict.fromkeys(FREQ + LOW))}", *map(level_cte, dict.fromkeys(FREQ + LOW))))
+def _once(spark, sf_dir):
+    train, _ = parts(spark, sf_dir)
+    levels = encoders.fit_levels(train, list(dict.fromkeys(FREQ + LOW)), rare_min_count=RARE)
+    encoded = encoders.apply_levels_once(txn(spark, sf_dir), levels, frequency=FREQ, rare=LOW)
+    return encoded.select("TransactionID", *[rounded(f"{c}__frequency") for c in FREQ], *LOW)
+
+
 VOCAB = ["ProductCD", "id_31", "card1"]
 
 

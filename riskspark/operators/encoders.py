@@ -79,6 +79,31 @@ def apply_rare_levels(df: DataFrame, levels: DataFrame, columns: list[str]) -> D
     return df
 
 
+def apply_levels_once(df: DataFrame, levels: DataFrame, *, frequency: list[str] = (), rare: list[str] = ()) -> DataFrame:
+    """What ``apply_frequency`` and ``apply_rare_levels`` give for any number of columns, by one join with the level table.
+
+    Rows are written once with a number; of them only (number, place of the column, value) meets the level table, and each row gets one
+    array of findings back, at most an entry a column. So wide rows are shuffled once instead of once a column. Missing values, the
+    hottest key of most columns, are answered from one row a column; other hot values are split by AQE.
+    """
+    columns = list(dict.fromkeys([*frequency, *rare]))
+    if not columns:
+        return df
+    numbered = write_through(df.withColumn("_number", F.monotonically_increasing_id()), "encoding-rows")
+    each = [F.struct(F.lit(i).alias("at"), F.lit(c).alias("column"), clean(c).alias("value")) for i, c in enumerate(columns)]
+    cells = numbered.select("_number", F.inline(F.array(*each)))
+    known = levels.where(F.col("column").isin(columns)).select("column", "value", "share", "kept")
+    missing = known.where(F.col("value") == MISSING)  # one row a column
+    found = cells.where(F.col("value") != MISSING).join(known.where(F.col("value") != MISSING), ["column", "value"], "left").unionByName(
+        cells.where(F.col("value") == MISSING).join(F.broadcast(missing), ["column", "value"], "left"))
+    listed = F.sort_array(F.collect_list(F.struct("at", "share", "kept"))).alias("_found")
+    joined = numbered.join(found.groupBy("_number").agg(listed), "_number")
+    at = {c: F.get("_found", F.lit(i)) for i, c in enumerate(columns)}
+    added = {f"{c}__frequency": F.coalesce(at[c]["share"], F.lit(0.0)) for c in frequency}
+    added |= {c: _rare_level(at[c]["kept"], F.coalesce(at[c]["kept"], F.lit(False)), clean(c)) for c in rare}
+    return joined.withColumns(added).drop("_number", "_found")
+
+
 def fit_vocabulary(levels: DataFrame) -> DataFrame:
     """(column, value, index): reserved numbers first, kept values in order, rare ones as OTHER.
 

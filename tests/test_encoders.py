@@ -82,3 +82,21 @@ def test_too_many_levels_are_refused(spark):
     with pytest.raises(ValueError, match="wide"):
         enc.fit_linear(df, {"numeric": [], "low_cardinality": ["wide", "small"], "high_cardinality": []})
     assert set(enc.fit_linear(df, {"numeric": [], "low_cardinality": ["small"], "high_cardinality": ["wide"]})["one_hot"]) == {"small"}
+
+
+def test_one_join_for_any_number_of_columns(spark):
+    train = spark.range(300).selectExpr("id", *[f"if(id % {3 + i} = 0, null, cast(id % {5 + i} as string)) as c{i}" for i in range(30)])
+    columns = [f"c{i}" for i in range(30)]
+    levels = enc.fit_levels(train, columns, rare_min_count=40)
+    odd = spark.createDataFrame([(None, *["new"] * 30), (7, *[None] * 30), (7, *[None] * 30)], "id long, " + ", ".join(f"c{i} string" for i in range(30)))
+    asked = train.unionByName(odd)
+    once = enc.apply_levels_once(asked, levels, frequency=columns, rare=columns[:9])
+    apart = enc.apply_rare_levels(enc.apply_frequency(asked, levels, columns), levels, columns[:9])
+    assert once.columns == apart.columns
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(once) == plain(apart)
+    planned = [enc.apply_levels_once(asked, levels, frequency=columns[:n]) for n in (2, 30)]  # not run yet: AQE would list its plan twice
+    exchanges = [df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in planned]
+    assert exchanges[0] == exchanges[1]
+    assert enc.apply_levels_once(asked.limit(0), levels, frequency=columns).count() == 0
+    assert enc.apply_levels_once(asked, levels).columns == asked.columns
