@@ -18,7 +18,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near copies (five-word Jaccard of 0.8 or more) the document with the smallest id stays.
+
+    SimHash fingerprints propose pairs by operator 1's index, MinHash keys those that fingerprints don't reach; the Jaccard decides.
+    """
     return nearcopies.keep_one(docs)
 
 

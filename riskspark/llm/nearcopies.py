@@ -1,9 +1,10 @@
-"""Near copies by exact Jaccard of word shingles; MinHash bands find the candidates.
+"""Near copies by exact Jaccard of word shingles; SimHash fingerprints and MinHash bands find the candidates.
 
 A text's set is the 64-bit hashes of its five-word shingles (fewer words: the whole sequence; none: the empty set, which only
 another empty set equals). Two texts are near copies where their sets have a Jaccard of ``least`` or more; classes are what near
-copies connect. ``bands`` keys of ``rows`` minima each propose candidates: a pair at Jaccard s shares no key with probability
-(1 - s^rows)^bands, 1.3e-7 at 0.8 for 40 keys of 5, less above. Candidates that share a key are then decided by their exact Jaccard.
+copies connect. Operator 1's index proposes sets whose fingerprints differ in at most ``distance`` bits (a fingerprint here is that of the
+set). Few pairs near ``least`` are that close, so ``bands`` keys of ``rows`` minima each propose more: a pair at Jaccard s shares no key with
+probability (1 - s^rows)^bands, 1.3e-7 at 0.8 for 40 keys of 5, less above. Candidates of either kind are then decided by their exact Jaccard.
 
 Equal sets are one node, whatever their number. Members of a bucket are linked to its least node, so a bucket costs its size, not its
 pairs; sets meet once, in blocks of their candidate component (see ``blocks``). A null text counts as empty; of rows with one id and
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from riskspark.llm import blocks
+from riskspark.llm import blocks, simhash
 from riskspark.llm.common import slices
 from riskspark.llm.components import components
 from riskspark.session import write_through
@@ -40,6 +41,7 @@ class Setting:
     least: float = 0.8
     bands: int = 40
     rows: int = 5
+    distance: int = simhash.DISTANCE
     cap: int = 256  # members of a chunk whose sets are compared
 
 
@@ -116,63 +118,77 @@ def _marked(rows: DataFrame, node: str, bits: np.ndarray, wanted: bool) -> DataF
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", setting: Setting = Setting()) -> DataFrame:
     """One row of each class, with all its columns: the row with the smallest id (of several, the one with the smallest node)."""
-    node, keys = "_node", "_keys"
-    while {node, keys} & set(df.columns):
-        node, keys = node + "_", keys + "_"
+    node, keys, fp = "_node", "_keys", "_fp"
+    while {node, keys, fp} & set(df.columns):
+        node, keys, fp = node + "_", keys + "_", fp + "_"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(setting)
         for part in slices(batches):
             sets = [shingles(t or "", setting.shingle) for t in part.column(text_col).to_pylist()]
             added = [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([bands.keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, node, keys])
+            added.append(pa.array([simhash.fingerprint_of_set(s) for s in sets], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*part.schema.names, node, keys, fp])
 
-    added = [StructField(node, LongType()), StructField(keys, ArrayType(LongType()))]
+    added = [StructField(node, LongType()), StructField(keys, ArrayType(LongType())), StructField(fp, LongType())]
     rows = write_through(df.mapInArrow(read, StructType(df.schema.fields + added)), "shingled")
-    narrow = rows.select(F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(keys).alias("keys"))
-    roots = write_through(components(_links(rows, text_col, node, keys, narrow, setting)), "near-copy-roots")
+    narrow = rows.select(F.col(id_col).alias("id"), F.col(node).alias("node"), F.col(keys).alias("keys"), F.col(fp).alias("fp"))
+    roots = write_through(components(_links(rows, text_col, node, keys, fp, narrow, setting)), "near-copy-roots")
     several = narrow.groupBy("node").count().where("count > 1").select("node")
     open_ = write_through(roots.select("node").union(several).distinct(), "near-copy-nodes")
     bits = _map_of(open_, "node")
-    asked = _marked(rows.drop(keys), node, bits, True)
+    asked = _marked(rows.drop(keys, fp), node, bits, True)
     ids = asked.select(F.col(id_col).alias("id"), F.col(node).alias("node")).join(roots, "node", "left")
     ids = ids.withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("id").isNull(), "id", "node")
     kept = ids.groupBy("root").agg(F.min(order).alias("_first")).select(F.col("_first.id").alias("_kept_id"), F.col("_first.node").alias("_kept_node"))
     chosen = asked.join(kept, asked[id_col].eqNullSafe(kept["_kept_id"]) & (asked[node] == kept["_kept_node"]), "left_semi")
-    rest = _marked(rows.drop(keys), node, bits, False)
+    rest = _marked(rows.drop(keys, fp), node, bits, False)
     return rest.unionByName(chosen.dropDuplicates([id_col, node])).drop(node)
 
 
-def _links(rows: DataFrame, text_col: str, node: str, keys: str, narrow: DataFrame, setting: Setting) -> DataFrame:
+def _fingerprint_edges(narrow: DataFrame, distance: int) -> DataFrame:
+    """(a, b): nodes connected as their fingerprints are. The nodes of one fingerprint are linked to their least."""
+    prints = narrow.where(F.size("keys") > 0).select("fp", "node")  # an empty set is near no other
+    least = write_through(prints.groupBy("fp").agg(F.min("node").alias("a"), F.max("node").alias("most")), "near-copy-prints")
+    same = prints.join(least.where("a <> most").drop("most"), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    first, second = (least.select(F.col("fp").alias(f"{n}_fp"), F.col("a").alias(n)) for n in ("one", "two"))
+    close = simhash.links(least.select("fp"), distance).join(first, F.col("a") == F.col("one_fp")).join(second, F.col("b") == F.col("two_fp"))
+    return same.unionByName(close.select(F.col("one").alias("a"), F.col("two").alias("b")))
+
+
+def _links(rows: DataFrame, text_col: str, node: str, keys: str, fp: str, narrow: DataFrame, setting: Setting) -> DataFrame:
     """(a, b): a forest over nodes that connects exactly what candidates of the least Jaccard connect."""
     entries = narrow.select("node", F.explode("keys").alias("key"))
     low = entries.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a <> most").select("key", "a")
     low = write_through(low, "near-copy-buckets")
     edges = entries.join(low, "key").where("a <> node").select("a", F.col("node").alias("b"))
+    edges = edges.unionByName(_fingerprint_edges(narrow, setting.distance))
     near = write_through(components(edges), "near-copy-candidates")
-    found = _marked(rows.select(F.col(node).alias("node"), F.col(text_col).alias("text"), F.col(keys).alias("keys")), "node", _map_of(near, "node"), True)
-    found = found.join(near, "node").dropDuplicates(["node"]).select(F.col("root").alias("key"), "node", "keys", "text")
+    texts = rows.select(F.col(node).alias("node"), F.col(text_col).alias("text"), F.col(keys).alias("keys"), F.col(fp).alias("fp"))
+    found = _marked(texts, "node", _map_of(near, "node"), True)
+    found = found.join(near, "node").dropDuplicates(["node"]).select(F.col("root").alias("key"), "node", "keys", "fp", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             packed = [shingles(t, setting.shingle).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(packed, pa.binary())], names=["key", "node", "keys", "found"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(packed, pa.binary())], names=["key", "node", "keys", "fp", "found"])
 
     def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        held = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ["key", "i", "j", "node"]}
+        held = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in ["key", "i", "j", "node", "fp"]}
         held["found"] = np.array([*map(_set, batch.column("found")), None], object)[:-1]
         held["keys"] = np.array(batch.column("keys").to_pylist(), np.int64).reshape(-1, setting.bands)
         return held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks.groups(batches, arrays):
-            held, keys_of = block["found"], block["keys"]
+            held, keys_of, prints = block["found"], block["keys"], block["fp"]
             sizes = np.array([len(s) for s in held])
 
             def linked(at: int, others: np.ndarray) -> np.ndarray:
                 hit = np.minimum(sizes[at], sizes[others]) >= setting.least * np.maximum(sizes[at], sizes[others]) - 1e-9
-                hit[hit] = (keys_of[others[hit]] == keys_of[at]).any(1)
+                far = np.bitwise_count((prints[others[hit]] ^ prints[at]).view(np.uint64)) > setting.distance
+                hit[hit] = ~far | (keys_of[others[hit]] == keys_of[at]).any(1)
                 for part in np.array_split(np.flatnonzero(hit), 1 + int(sizes[others[hit]].sum()) // 1_000_000):
                     if len(part):
                         hit[part] = jaccard_linked(held[at], [held[x] for x in others[part]], setting.least)
@@ -182,7 +198,7 @@ def _links(rows: DataFrame, text_col: str, node: str, keys: str, narrow: DataFra
             if len(edges):
                 yield pa.RecordBatch.from_arrays([pa.array(block["node"][edges[:, 0]]), pa.array(block["node"][edges[:, 1]])], names=["a", "b"])
 
-    packed = write_through(found.mapInArrow(sets, "key long, node long, keys array<long>, found binary"), "near-copy-sets")
+    packed = write_through(found.mapInArrow(sets, "key long, node long, keys array<long>, fp long, found binary"), "near-copy-sets")
     return blocks.in_blocks(packed, "node", setting.cap).mapInArrow(run, "a long, b long")
 
 

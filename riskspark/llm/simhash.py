@@ -57,6 +57,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big", signed=True)
 
 
+def fingerprint_of_set(found: np.ndarray) -> int:
+    """Majority bits of a set of 64-bit hashes, each counted once, as a signed 64-bit integer; of none: zero."""
+    sums = np.zeros(64, np.int64)
+    for at in range(0, len(found), _AT_A_TIME):
+        part = found[at:at + _AT_A_TIME].astype(">u8").view(np.uint8)
+        sums += np.unpackbits(part.reshape(-1, _BYTES), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * sums > len(found)).tobytes(), "big", signed=True)
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of every whole text."""
     return per_text(id_text(df, id_col, text_col), lambda: lambda text: (fingerprint(text, shingle),), "fp long")

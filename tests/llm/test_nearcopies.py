@@ -55,3 +55,16 @@ def test_brute_force(spark, cap):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
     got = [r["doc_id"] for r in nearcopies.keep_one(docs, setting=nearcopies.Setting(cap=cap)).collect()]
     assert len(got) == len(set(got)) and set(got) == kept_ids(texts)
+
+
+def test_fingerprints_propose_pairs(spark):
+    """One band of 400 minima proposes nothing here, so the pair is found by its fingerprints."""
+    words = [f"w{n}" for n in range(1000)]
+    texts = {1: " ".join(words), 2: " ".join(words[:-1]) + " x", 3: " ".join(words[::-1]), 4: "", 5: "a b"}
+    sets = [nearcopies.shingles(texts[i], 5) for i in (1, 2)]
+    one, two = (nearcopies.simhash.fingerprint_of_set(s) for s in sets)
+    setting = nearcopies.Setting(bands=1, rows=400)
+    keys = [nearcopies.Bands(setting).keys(s)[0] for s in sets]
+    assert (one ^ two).bit_count() <= 4 and keys[0] != keys[1]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], SCHEMA)
+    assert {r["doc_id"] for r in nearcopies.keep_one(docs, setting=setting).collect()} == {1, 3, 4, 5}
