@@ -11,7 +11,7 @@ from riskspark.functions.row_features import with_v2_row_features
 from riskspark.operators import history
 from riskspark.operators import reference_state as ref
 from riskspark.operators.bucketed_state import BucketedState
-from riskspark.session import scratch_path
+from riskspark.session import scratch_path, write_through
 from riskspark.sources.demo_tables import txn
 
 CUT = 86_400 * 20
@@ -164,10 +164,11 @@ def _leakage(spark, sf_dir):
 
     As a control a whole day is taken away: exactly its rows and the later ones that share a key with it must differ.
     """
-    rows = txn(spark, sf_dir)
+    rows = write_through(txn(spark, sf_dir), "audited")
     changed = rows.withColumn("isFraud", 1 - F.col("isFraud")).withColumn(
         "TransactionAmt", F.when(F.col("TransactionDT") >= 86_400 * 29, F.col("TransactionAmt") * 1000).otherwise(F.col("TransactionAmt")))
     upto = F.col("TransactionDT") < 86_400 * 29
     less = rows.where((F.col("TransactionDT") < CONTROL[0]) | (F.col("TransactionDT") >= CONTROL[1]))
-    control = history.leakage_audit(rows, less, upto).where(F.col("check") == "past_features_changed")
-    return history.leakage_audit(rows, changed, upto).unionByName(control.withColumn("check", F.lit("control_rows_changed")))
+    kept = write_through(history.past_digests(rows, upto), "audit-before")
+    control = history.leakage_audit(rows, less, upto, before=kept).where(F.col("check") == "past_features_changed")
+    return history.leakage_audit(rows, changed, upto, before=kept).unionByName(control.withColumn("check", F.lit("control_rows_changed")))

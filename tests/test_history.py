@@ -134,3 +134,22 @@ def test_window_plan_has_one_shuffle_per_key(spark):
     plan = h.history_features(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == len(h.KEY_HISTORIES)
     assert "SinglePartition" not in plan
+
+
+def test_no_hot_key_needs_no_count_by_key(spark):
+    """Keys that are nearly unique are not shuffled to find out that none is hot."""
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    found = h.hot_keys(df, ["k"], 100)
+    assert found.count() == 0 and "Exchange" not in found._jdf.queryExecution().toString()
+
+
+def test_audit_digests_stay_narrow_and_tell_nulls_apart(spark):
+    df = spark.createDataFrame(generated(400, 9), HISTORY_SCHEMA)
+    digests = h.past_digests(df, hot_rows=50)
+    assert len(digests.columns) == 4
+    moved = df.withColumn("D4", F.when(F.col("TransactionID") == 200, F.lit(99.0)).otherwise(F.col("D4")))
+    names = ["TransactionID", "TransactionDT", "uid_proxy", *h.feature_names(h.with_v2_row_features(df).columns)]
+    for other in (moved, df.where("TransactionID <> 100"), df.withColumn("isFraud", 1 - F.col("isFraud")), df.unionByName(df.where("TransactionID = 7"))):
+        wide = h.causal_features(df).select(names).exceptAll(h.causal_features(other).select(names)).count()
+        assert {r["check"]: r["violations"] for r in rows(h.leakage_audit(df, other))}["past_features_changed"] == wide
+    assert rows(digests, "_digest", "_digest_2") == rows(h.past_digests(df), "_digest", "_digest_2")  # chunks of hot keys or not
