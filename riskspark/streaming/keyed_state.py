@@ -28,9 +28,13 @@ STATE = "n long, last double, vn long, vs long, vq decimal(38,0)"
 def _past_of_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Emit the past of each new row of one key, then store the new totals."""
     n, last, vn, vs, vq = state.get if state.exists else (0, None, 0, 0, 0)
-    rows = pd.concat(list(batches)).sort_values([TIME, ID], kind="stable")  # rows of one key in one micro-batch
-    unit = rows["unit"]
-    here = unit.notna().to_numpy()
+    parts = list(batches)  # rows of one key in one micro-batch
+    held = parts[0] if len(parts) == 1 else pd.concat(parts)
+    ids, at = held[ID].to_numpy(), held[TIME].to_numpy()
+    order = np.lexsort((ids, at))  # groups are small and many, so plain arrays instead of frames
+    ids, times = ids[order], at[order].astype("float64")
+    unit = held["unit"].to_numpy()[order]
+    here = ~pd.isna(unit)
     values = [int(v) if ok else 0 for v, ok in zip(unit, here)]
     # Python integers keep the sums of squares exact.
     past_n = vn + np.concatenate([[0], np.cumsum(here)[:-1]])
@@ -39,13 +43,12 @@ def _past_of_key(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
         past_s.append(s)
         past_q.append(q)
         s, q = s + v, q + v * v
-    times = rows[TIME].astype("float64").to_numpy()
     previous = np.concatenate([[np.nan if last is None else last], times[:-1]])
     mean = [a / c / stats.AMOUNT_UNITS if c else None for a, c in zip(past_s, past_n)]
     std = [float(max(int(c) * b - a * a, 0)) ** 0.5 / c / stats.AMOUNT_UNITS if c >= 2 else None for a, b, c in zip(past_s, past_q, past_n)]
-    state.update((int(n + len(rows)), float(times[-1]), int(vn + here.sum()), s, Decimal(q)))
+    state.update((int(n + len(ids)), float(times[-1]), int(vn + here.sum()), s, Decimal(q)))
     yield pd.DataFrame({
-        "key": key[0], ID: rows[ID].to_numpy(), "prior_count": n + np.arange(len(rows)), "seconds_since_previous": times - previous,
+        "key": key[0], ID: ids, "prior_count": n + np.arange(len(ids)), "seconds_since_previous": times - previous,
         "amount_prior_numeric_count": past_n, "amount_prior_mean": mean, "amount_prior_std": std,
     })
 

@@ -7,6 +7,7 @@ from riskspark.operators import reference_state as ref
 from riskspark.operators.bucketed_state import BucketedState
 from riskspark.functions.row_features import with_v2_row_features
 from riskspark.streaming import replay
+from riskspark.streaming.keyed_state import _past_of_key
 from riskspark.streaming.replay import append_replay, drained, paced, read_replay, write_replay
 from riskspark.streaming.scoring import StreamJob
 from tests.conftest import rows
@@ -193,3 +194,43 @@ def test_rates(spark, tmp_path, rate):
     assert [n for _, n in starts] == [rate] * 3 and starts[2][0] - starts[1][0] > 0.6
     with pytest.raises(ValueError):
         paced(source.writeStream, rows_per_trigger=1, rate=3)
+
+
+def test_a_batch_is_fetched_once(spark, tmp_path):
+    """Every row of the source passes the counter once, however many steps read the batch."""
+    data = [(n, 10 * n, 5.0, 1, n) for n in range(1, 21)]
+    df = spark.createDataFrame(data, "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, sequence_number long")
+    job = StreamJob(spark, f"{tmp_path}/out", score, spark.createDataFrame([("m", 0.5)], "model_identifier string, threshold double"), [h.KeyHistory("card1_key")])
+    job.seed(df.schema)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(part.num_rows)
+            yield part
+
+    job.process(df.mapInArrow(counted, df.schema), 0)
+    assert read.value == 20 and job.output("features").count() == 20
+
+
+def test_keyed_past_needs_no_frame_work_for_one_part():
+    """A key's rows come as one frame nearly always; they are neither joined nor sorted as frames."""
+    import pandas as pd
+
+    class Held:
+        exists, kept = False, None
+
+        def update(self, value):
+            self.kept = value
+
+    class Plain(pd.DataFrame):
+        def sort_values(self, *args, **kwargs):
+            raise AssertionError("sorted as a frame")
+
+        _constructor = property(lambda self: Plain)
+
+    part = Plain({"TransactionID": [3, 1, 2], "TransactionDT": [20, 10, 10], "unit": [3000.0, 1000.0, None]})
+    state = Held()
+    found = next(_past_of_key(("k",), iter([part]), state))
+    assert found["TransactionID"].tolist() == [1, 2, 3] and found["amount_prior_numeric_count"].tolist() == [0, 1, 1]
+    assert state.kept[:4] == (3, 20.0, 2, 4000)
