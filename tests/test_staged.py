@@ -98,3 +98,14 @@ def test_unseen_levels_and_empty_vocabularies(spark, data):
     odd = spark.createDataFrame([(1, 1, None, "new", 5, 0), (2, 2, 3.0, None, None, 1)], "TransactionID long, TransactionDT long, TransactionAmt double, ProductCD string, card1 long, isFraud int")
     found = [list(r["x"]) for r in rows(staged.apply_native(odd, state)[0].select("TransactionID", vector_to_array("_features").alias("x")), "TransactionID")]
     assert found[0][1] == 1.0 and found[0][2] == 0.0 and found[1][2] == 0.0 and found[1][0] == 3.0
+
+
+def test_score_is_the_last_margin_without_python(spark, data):
+    state = fit_state(data, GROUPS)
+    model, names = staged.fit_trees(data, state, max_iter=3, max_depth=3, min_rows=5)
+    fitted = staged.StagedModel("lightgbm.v2", state, model, names, 2)
+    scored = fitted.score(data)
+    assert "ArrowEvalPython" not in scored._jdf.queryExecution().toString()
+    margins = staged.staged_margins(staged.apply_native(data, state)[0], model, 2)
+    want = margins.select("TransactionID", staged.probability_of(F.element_at("margins", -1)).alias("probability"))
+    assert rows(scored.select("TransactionID", "probability"), "TransactionID") == rows(want, "TransactionID")
