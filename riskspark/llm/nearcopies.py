@@ -32,6 +32,7 @@ from riskspark.session import write_through
 SEED = 42
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _AT_A_TIME = 256  # shingles whose permutations are in memory at once
+_SETS = 1024  # sets that are unpacked at once, besides those of an open block
 _SLOTS = 1 << 22  # of the map of nodes, so that most rows pass without a join
 
 
@@ -109,9 +110,9 @@ def _marked(rows: DataFrame, node: str, bits: np.ndarray, wanted: bool) -> DataF
     """The rows whose node's bit is as wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column(node).to_numpy(zero_copy_only=False) % _SLOTS
-            yield batch.filter(pa.array((bits[slot >> 3] >> (slot & 7) & 1 > 0) == wanted))
+        for part in slices(batches):
+            slot = part.column(node).to_numpy(zero_copy_only=False) % _SLOTS
+            yield part.filter(pa.array((bits[slot >> 3] >> (slot & 7) & 1 > 0) == wanted))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -181,7 +182,7 @@ def _links(rows: DataFrame, text_col: str, node: str, keys: str, fp: str, narrow
         return held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks.groups(batches, arrays):
+        for block in blocks.groups(slices(batches, _SETS), arrays):
             held, keys_of, prints = block["found"], block["keys"], block["fp"]
             sizes = np.array([len(s) for s in held])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import held_out, id_text, per_text
+from riskspark.llm.common import held_out, id_text, per_text, slices
 from riskspark.session import write_through
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -227,8 +227,8 @@ def clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = model.scorer()
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            yield batch.filter(pa.array([scored(t or "")[0] < threshold for t in texts], pa.bool_()))
+        for part in slices(batches):
+            texts = part.column(text_col).to_pylist()
+            yield part.filter(pa.array([scored(t or "")[0] < threshold for t in texts], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
