@@ -234,3 +234,58 @@ def test_keyed_past_needs_no_frame_work_for_one_part():
     found = next(_past_of_key(("k",), iter([part]), state))
     assert found["TransactionID"].tolist() == [1, 2, 3] and found["amount_prior_numeric_count"].tolist() == [0, 1, 1]
     assert state.kept[:4] == (3, 20.0, 2, 4000)
+
+
+def test_max_of_earlier_by_number_writes_nothing(spark, monkeypatch):
+    from riskspark.operators import ordering
+
+    values = [(0, 3), (1, 1), (1, None), (5, 7), (40, 2), (41, 9), (None, 4), (90, 4), (None, 8), (91, 10)]
+    df = spark.createDataFrame([(n, v, at) for at, (n, v) in enumerate(values)], "n int, v int, at int").repartition(3)
+    inorder = sorted(range(10), key=lambda at: (values[at][0] is not None, values[at][0] or 0, at))
+    expected = {at: max((values[a][1] for a in inorder[:place] if values[a][1] is not None), default=None) for place, at in enumerate(inorder)}
+    monkeypatch.setattr(ordering, "write_through", None)
+    for chunk_rows in (1, 2, 1000):
+        found = rows(ordering.max_of_earlier(df, [F.col("n"), F.col("at")], F.col("v"), "m", chunk_rows=chunk_rows, number="n"))
+        assert {r["at"]: r["m"] for r in found} == expected
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 15])
+def test_carried_rows_have_the_history_of_joined_rows(spark, hot_rows):
+    """Known state, new pairs of the batch and hot keys: rows that are carried get what rows get that are written and joined again."""
+    df = spark.createDataFrame(generated(200, seed=12), HISTORY_SCHEMA)
+    cut = sorted(r["TransactionDT"] for r in df.select("TransactionDT").collect())[120]
+    early, late = df.where(F.col("TransactionDT") < cut), df.where(F.col("TransactionDT") >= cut)
+    state = ref.build(early)
+    featured = with_v2_row_features(late)
+    plain = h.with_history(featured, state.specs, hot_rows=hot_rows, known=h.KnownState(state.keyed, state.pairs))
+    fresh = ref.fresh_pairs(featured, state.specs, state.pairs)
+    carried = h.with_row_history(late, state.specs, hot_rows=hot_rows, known=h.KnownState(state.keyed, state.pairs, fresh))
+    assert carried.columns == plain.columns and carried.dtypes == plain.dtypes
+    found, expected = by_id(carried), by_id(plain)
+    assert len(found) == late.count() > 50 and found == expected
+    added = ref.delta(late, state.specs, state.pairs), ref.delta(late, state.specs, state.pairs, fresh=fresh)
+    assert rows(added[0].pairs, "column", "key", "value") == rows(added[1].pairs, "column", "key", "value")
+    assert rows(added[0].keyed["uid_proxy"], "key") == rows(added[1].keyed["uid_proxy"], "key")
+
+
+def test_a_batch_is_not_written_again_for_its_history(spark, tmp_path, monkeypatch):
+    """Rows are written as fetched and as judged; order, history and known pairs need no further copy of them."""
+    from riskspark import session
+    from riskspark.operators import ordering
+    from riskspark.streaming import scoring
+
+    labels = []
+
+    def recorded(frame, label):
+        labels.append(label)
+        return session.write_through(frame, label)
+
+    for module in (h, ordering, ref, scoring):
+        monkeypatch.setattr(module, "write_through", recorded)
+    df = spark.createDataFrame([(n, 10 * n, 5.0, n % 3, str(n % 4), n) for n in range(1, 21)], "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, P_emaildomain string, sequence_number long")
+    job = StreamJob(spark, f"{tmp_path}/out", score, spark.createDataFrame([("m", 0.5)], "model_identifier string, threshold double"), list(SMALL))
+    job.seed(df.schema)
+    labels.clear()
+    job.process(df, 0)
+    assert job.output("features").count() == 20
+    assert sorted(labels) == ["hot-keys", "state-pairs", "stream-batch", "stream-fetched", "stream-repeated"]
