@@ -1,5 +1,6 @@
 """Staged boosted trees: chosen rounds against a replay of the saved trees in SQL."""
 
+import itertools
 import math
 
 import duckdb
@@ -109,3 +110,32 @@ def test_score_is_the_last_margin_without_python(spark, data):
     margins = staged.staged_margins(staged.apply_native(data, state)[0], model, 2)
     want = margins.select("TransactionID", staged.probability_of(F.element_at("margins", -1)).alias("probability"))
     assert rows(scored.select("TransactionID", "probability"), "TransactionID") == rows(want, "TransactionID")
+
+
+def test_search_runs_all_rounds_of_every_fit(spark, data, monkeypatch):
+    """The query leaves the number of rounds to the library, for each fold and candidate."""
+    from checks import QUERIES, learning_checks
+
+    asked, real = [], staged.fit_trees
+
+    def short(train, state, **options):
+        asked.append((options["max_iter"], options["max_depth"]))
+        return real(train, state, **{**options, "max_iter": 2, "min_rows": 5})
+
+    monkeypatch.setattr(staged, "fit_trees", short)
+    monkeypatch.setattr(learning_checks, "prepared", lambda *_: data.withColumn("split", F.when(F.col("TransactionID") <= 500, "train").otherwise("test")))
+    monkeypatch.setattr(learning_checks, "GROUPS", GROUPS)
+    found = rows(QUERIES["search_folds"](spark, "nowhere"), "name")
+    assert sorted(asked) == sorted((300, c["max_depth"]) for c in staged.BOOSTED_CANDIDATES for _ in range(3))
+    assert [r["name"] for r in found] == sorted(c["name"] for c in staged.BOOSTED_CANDIDATES) and all(0 < r["mean"] <= 1 and r["std"] >= 0 for r in found)
+
+
+def test_margins_from_leaves_are_the_sums_of_the_trees(spark, data):
+    state = fit_state(data, GROUPS)
+    model, _ = staged.fit_trees(data, state, max_iter=6, max_depth=4, min_rows=5)
+    vectors = staged.apply_native(data, state)[0]
+    for rounds in (None, 1, 4):
+        summed, parts = staged._with_parts(vectors, model, rounds)
+        expected = {r["TransactionID"]: r["parts"] for r in summed.select("TransactionID", F.array(*parts).alias("parts")).collect()}
+        for r in staged.staged_margins(vectors, model, rounds).collect():
+            assert r["margins"] == list(itertools.accumulate(expected[r["TransactionID"]]))
