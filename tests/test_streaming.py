@@ -289,3 +289,35 @@ def test_a_batch_is_not_written_again_for_its_history(spark, tmp_path, monkeypat
     job.process(df, 0)
     assert job.output("features").count() == 20
     assert sorted(labels) == ["hot-keys", "state-pairs", "stream-batch", "stream-fetched", "stream-repeated"]
+
+
+FAILING = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, sequence_number long"
+
+
+def run_with_failures(spark, folder):
+    """Ten rows in two batches: two without an id, a negative amount, and one each that the model scores with nothing, NaN, 1.5 and not at all."""
+    ids = [1, None, 3, 4, 5, 6, None, 8, 9, 11]
+    df = spark.createDataFrame([(i, 10 * (n + 1), -1.0 if i == 3 else 2.0, 7, n) for n, i in enumerate(ids)], FAILING)
+    append_replay(df, f"{folder}/in")
+
+    def failing(features):
+        odd = F.when(F.col("TransactionID") == 5, F.lit(float("nan"))).when(F.col("TransactionID") == 8, 1.5).when(F.col("TransactionID") != 4, 0.9)
+        return features.where("TransactionID <> 6").select("TransactionID", F.lit("m").alias("model_identifier"), odd.alias("risk_score"))
+
+    thresholds = spark.createDataFrame([("m", 0.5)], "model_identifier string, threshold double")
+    job = StreamJob(spark, f"{folder}/out", failing, thresholds, [h.KeyHistory("card1_key")])
+    job.seed(df.schema)
+    drained(job.start(f"{folder}/in", df.schema, f"{folder}/check", rows_per_trigger=5))
+    return job
+
+
+@pytest.fixture(scope="module")
+def failures(spark, tmp_path_factory):
+    return run_with_failures(spark, tmp_path_factory.mktemp("failures"))
+
+
+def test_counters_have_every_row_and_failure(failures):
+    """Rows without an id are received and fail; a row that no model scored isn't processed, and NaN or 1.5 isn't fraud."""
+    found = rows(failures.totals())[0]
+    assert found == {"received_count": 10, "processed_count": 3, "failed_count": 7, "fraud_count": 3, "suspicious_value": 6.0, "current_sequence": 9}
+    assert sorted(r["TransactionID"] for r in rows(failures.output("alerts"))) == [1, 9, 11]
