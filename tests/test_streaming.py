@@ -321,3 +321,14 @@ def test_counters_have_every_row_and_failure(failures):
     found = rows(failures.totals())[0]
     assert found == {"received_count": 10, "processed_count": 3, "failed_count": 7, "fraud_count": 3, "suspicious_value": 6.0, "current_sequence": 9}
     assert sorted(r["TransactionID"] for r in rows(failures.output("alerts"))) == [1, 9, 11]
+
+
+def test_dead_letters_have_every_failed_row(failures):
+    from riskspark.operators.contract import AMOUNT_TEXT, FINITE_ID_TEXT, INVALID_CODE
+    from riskspark.streaming.scoring import UNSCORED_CODE, UNSCORED_TEXT
+
+    found = {r["sequence_number"]: (r["TransactionID"], r["TransactionDT"], r["error_code"], r["error_message"]) for r in rows(failures.output("dead_letters"))}
+    unscored = {n: (ident, 10 * (n + 1), UNSCORED_CODE, UNSCORED_TEXT) for n, ident in ((3, 4), (4, 5), (5, 6), (7, 8))}
+    nameless = {n: (None, 10 * (n + 1), INVALID_CODE, FINITE_ID_TEXT) for n in (1, 6)}
+    assert found == {2: (3, 30, INVALID_CODE, AMOUNT_TEXT)} | nameless | unscored
+    assert failures.output("dead_letters").count() == 7
