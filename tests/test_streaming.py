@@ -332,3 +332,13 @@ def test_dead_letters_have_every_failed_row(failures):
     nameless = {n: (None, 10 * (n + 1), INVALID_CODE, FINITE_ID_TEXT) for n in (1, 6)}
     assert found == {2: (3, 30, INVALID_CODE, AMOUNT_TEXT)} | nameless | unscored
     assert failures.output("dead_letters").count() == 7
+
+
+def test_metrics_have_every_row_and_failure(failures):
+    from riskspark.operators.contract import INVALID_CODE
+    from riskspark.streaming.scoring import UNSCORED_CODE
+
+    found = rows(failures.metrics())[0]
+    assert (found["received"], found["processed"], found["failed"], found["fraud_alerts"], found["suspicious_value"]) == (10, 3, 7, 3, 6.0)
+    codes = {r["sequence_number"]: (r["status"], r["error_code"]) for r in rows(failures.output("events"))}
+    assert codes == {n: ("FAILED", INVALID_CODE) if n in (1, 2, 6) else ("FAILED", UNSCORED_CODE) if n in (3, 4, 5, 7) else ("COMPLETED", None) for n in range(10)}
